@@ -151,3 +151,28 @@ def identify(docs: DataFrame, labelled: DataFrame, size: int = PROFILE, sample:
     """
     rows = learn_profiles(labelled, size, sample)
     return docs.select("doc_id", "text").mapInArrow(_predict_rows(rows, size), "doc_id long, lang_pred string, score double")
+
+
+def _keep_rows(rows, size: int, text_at: int):
+    def run(batches):
+        profiles = Profiles(rows, size)
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(text_at))
+            keep = np.zeros(batch.num_rows, bool)
+            for lo, hi in slices_by_bytes(offsets, 2_000_000):
+                a, b = offsets[lo], offsets[hi]
+                letters, offs = _letters(raw[a:b], offsets[lo : hi + 1] - a)
+                for r in range(hi - lo):
+                    keep[lo + r] = profiles.predict(top_grams(*gram_counts(letters[offs[r] : offs[r + 1]]), size))[0] != UNKNOWN
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, labelled: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language by identify(); no shuffle.
+
+    Rejected are only null texts and texts without a letter, and every row if nothing could be learned.
+    """
+    rows = learn_profiles(labelled, size, sample)
+    return docs.mapInArrow(_keep_rows(rows, size, docs.columns.index("text")), docs.schema)

@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import LOWER, forest, groups, mix64, slices_by_bytes, span_hashes, text_buffer, word_spans
@@ -255,7 +255,7 @@ def _chunks(n) -> F.Column:
     return F.ceil(n / CHUNK).cast("long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * |A & B| >= percent * |A | B| over sets of 5-word shingles.
 
     docs needs doc_id (long) and text; other columns are ignored, whatever their names. Returns one row per input row:
@@ -297,3 +297,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = all_.join(named, ["set1", "set2", "n_shingles"], "left").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("class_id")), "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without those that near_duplicates() does not keep.
+
+    One row of each group stays, that of the smallest doc_id; of rows repeating that doc_id the one of the smallest text. Rows of null doc_id stay.
+    """
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
+    if repeated.isEmpty():
+        return left
+    first = Window.partitionBy("doc_id").orderBy("text")
+    ranked = left.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.row_number().over(first)).otherwise(1))
+    return ranked.where("__row = 1").drop("__row")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import exact_topk, language_id, media, near_dedup, packing, sharding, token_counts
+from loomgraph.llm import exact_topk, language_id, license_scan, media, mixing, near_dedup, packing, pii, sharding, token_counts
 from loomgraph.llm.common import read_table
 
 
+#: The key of the pseudonyms in the registered query and the pipeline; a deployment passes its own secret.
+PII_KEY = "loomgraph demonstration key"
+
+
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -19,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+    return out.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.texts_to_media(read_table(spark, sf_dir, "documents")))
 
@@ -41,7 +50,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("shard_size").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op4_media_columns, op5_best_fit_packing, op6_near_dedup, op7_token_counts, op8_sharding)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), seed=1)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_pii, op4_media_columns, op5_best_fit_packing, op6_near_dedup, op7_token_counts, op8_sharding, op9_mixing, op10_license_scan)}
 
 ORACLE = {
     "op1_exact_topk": """
