@@ -1,4 +1,6 @@
 """All registered queries of the library with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from loomgraph.queries import graphs, relational
+from loomgraph.queries.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "graphs", "relational"]
