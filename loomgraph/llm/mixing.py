@@ -40,37 +40,54 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     return t.select("source", "source_size", F.when(F.col("source_size") > 0, F.coalesce(share, "most")).otherwise(0.0).alias("target"))
 
 
-def _offset(seed: int) -> Column:
+#: Offsets tried for each source; the one that brings its words nearest to the target is used.
+OFFSETS = 64
+
+
+def _draw(seed: int) -> Column:
     """One number in [0, 1) a source, from SHA-256 of the seed and the source."""
     text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def mix_sizes(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+def _copies(offset: Column) -> Column:
+    """Whole numbers crossed between a row's two ends in its source's prefix sum of expected copies, shifted by the offset."""
+    return (F.floor(F.col("rank") * F.col("rate") + offset) - F.floor((F.col("rank") - 1) * F.col("rate") + offset)).cast("long")
+
+
+def mix_sizes(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, offsets: int = OFFSETS) -> DataFrame:
     """Systematic sampling of sized (doc_id, source, size): adds source_size, target and copies (times that the mix takes the row).
 
-    A row's expected copies are its source's target over its source's size. Rows of a source are ranked by size, then doc_id, so that
-    the copies, emitted once for each whole number that rank * expected + offset crosses, are spread evenly over sizes and their words come near the
-    target. The rank is a prefix sum in two levels: rows are range-partitioned by (source, size, doc_id), counted by partition,
-    and numbered inside it, so a source of any size is spread over tasks.
+    A row's expected copies are its source's target over its source's size. Rows of a source are ranked in a seeded hash order of doc_id
+    (then size); a copy is emitted for each whole number that the prefix sum of expected copies, rank * expected + offset, crosses. The
+    rank is a prefix sum in two levels: rows are range-partitioned by (source, hash, size), counted by partition, and numbered inside
+    it, so a source of any size is spread over tasks. A source's offset is a seeded draw, turned by each of j / offsets; of these the
+    turn whose words come nearest to the target is used (the least j if tied). Every turn is a systematic sample of whole documents; a
+    very long document that is in or out is balanced by the others that a turn takes.
     """
-    plain = materialize(sized.select("doc_id", "source", "size"), "sizes")
+    order = F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 16)
+    plain = materialize(sized.select("doc_id", "source", "size", order.alias("h")), "sizes")
     sizes = plain.groupBy("source").agg(F.sum("size").alias("source_size"))
     aim = materialize(targets(sizes, weights, cap), "targets")
-    dealt = plain.repartitionByRange("source", "size", "doc_id").withColumn("part", F.spark_partition_id())
+    dealt = plain.repartitionByRange("source", "h", "size").withColumn("part", F.spark_partition_id())
     dealt = materialize(dealt, "ranges")
     counts = dealt.groupBy("part", "source").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     starts = starts.join(aim.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).drop("source2")
     starts = starts.withColumnRenamed("source", "source3").withColumnRenamed("part", "part3")
-    inside = Window.partitionBy("part", "source").orderBy("size", "doc_id")
+    inside = Window.partitionBy("part", "source").orderBy("h", "size")
     ranked = dealt.withColumn("k", F.row_number().over(inside))
     ranked = ranked.join(starts, (F.col("part") == F.col("part3")) & F.col("source").eqNullSafe(F.col("source3")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank = F.col("start") + F.col("k")
-    copies = F.floor(rank * rate + _offset(seed)) - F.floor((rank - 1) * rate + _offset(seed))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    ranked = ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("start") + F.col("k")).alias("rank"), rate.alias("rate"))
+    ranked = materialize(ranked, "ranked")
+    turn = F.pmod(_draw(seed) + F.col("j") / F.lit(float(offsets)), F.lit(1.0))
+    tried = ranked.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(offsets - 1)))).withColumn("offset", turn)
+    words = tried.groupBy("source", "j").agg(F.sum(_copies(F.col("offset")) * F.col("size")).alias("words"), F.first("offset").alias("offset"), F.first("target").alias("target"))
+    best = words.groupBy(F.col("source").alias("source4")).agg(F.min_by("offset", F.struct(F.abs(F.col("words") - F.col("target")), F.col("j"))).alias("offset"))
+    chosen = ranked.join(best, F.col("source").eqNullSafe(F.col("source4")))
+    return chosen.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("offset")).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
