@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 NOT_GRAM_CHAR = "[^0-9A-Za-z가-힣]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it (a lambda's argument is not inlined)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def char_ngrams(text: Column, n: int = 2) -> Column:
     """All character n-grams, in order, of the text without anything but letters, digits and Hangul; empty if too short."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), NOT_GRAM_CHAR, "")
-    starts = F.sequence(F.lit(1), F.length(s) - (n - 1))
-    return F.when(F.length(s) >= n, F.transform(starts, lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def grams(s: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))
+        return F.when(F.length(s) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_GRAM_CHAR, ""), grams)
 
 
 def digits_only(text: Column) -> Column:

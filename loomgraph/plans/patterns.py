@@ -188,7 +188,7 @@ class CypherCompiler:
             for p in parts[1:]:
                 out = out.union(self.run(p))
             return out if re.search(r"\bUNION\s+ALL\b", query, re.I) else out.distinct()
-        clauses = [c for c in re.split(r"\b(MATCH|WHERE|RETURN|ORDER BY|LIMIT|WITH|FILTER|LET|NEXT)\b(?![^{]*\})", query.strip(), flags=re.I) if c.strip()]
+        clauses = _clauses(query.strip())
         df = None
         i = 0
         while i < len(clauses):
@@ -215,7 +215,7 @@ class CypherCompiler:
         return df
 
     def _where(self, df: DataFrame, body: str) -> DataFrame:
-        m = re.search(r"(NOT\s+)?EXISTS\s*\{\s*(?:MATCH\s+)?([^}]*)\}", body, re.I)
+        m = re.search(r"(NOT\s+)?EXISTS\s*\{\s*(?:MATCH\s+)?((?:[^{}]|\{[^{}]*\})*)\}", body, re.I)
         if m:
             inner = self.match(m[2])
             shared = [c for c in inner.columns if c.endswith(".") and c in df.columns]
@@ -226,6 +226,25 @@ class CypherCompiler:
         return df.where(F.expr(self._expr(body, df)))
 
 
+_CLAUSE = re.compile(r"\b(MATCH|WHERE|RETURN|ORDER BY|LIMIT|WITH|FILTER|LET|NEXT)\b", re.I)
+
+
+def _clauses(text: str) -> list[str]:
+    """Keyword, body, keyword, body .. at keywords outside braces and quotes ('STARTS WITH' is an operator, not a clause)."""
+    out, depth, quoted, last, at = [], 0, False, 0, 0
+    while at < len(text):
+        c = text[at]
+        quoted ^= c == "'"
+        depth += ((c == "{") - (c == "}")) if not quoted else 0
+        m = _CLAUSE.match(text, at) if depth == 0 and not quoted and (at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")) else None
+        if m and not re.search(r"STARTS\s+$", text[:at], re.I):
+            out += [text[last:at], m[1]]
+            last = at = m.end()
+            continue
+        at += 1
+    return [x for x in [*out, text[last:]] if x.strip()]
+
+
 def _split_top(text: str) -> list[str]:
     """Split at commas outside brackets and quotes."""
     out, depth, now, quoted = [], 0, "", False
@@ -290,6 +309,7 @@ def sparql(triples: DataFrame, query: str) -> DataFrame:
     for f in filters:
         expr = re.sub(r"\?(\w+)", r"`\1.`", f).replace("&&", " AND ").replace("||", " OR ")
         expr = re.sub(r'"([^"]*)"(?:\^\^[\w:]+)?', r"'\1'", expr)
+        expr = re.sub(r"(`\w+\.`)(\s*(?:[<>]=?|!?=)\s*-?\d)", r"try_cast(\1 AS DOUBLE)\2", expr)
         df = df.where(F.expr(expr))
     names = re.findall(r"\?(\w+)", m[2])
     out = df.select(*[F.col(f"`{n}.`").alias(n) for n in names])

@@ -28,9 +28,9 @@ def directional_lookup(spark, d):
     return c.join(n.where("n_nationkey = 3"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("node"), F.col("n_name").alias("boss"))
 
 
-@query("SELECT l_orderkey AS order_id, round(l_extendedprice * (1 - l_discount), 2) AS net, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT l_orderkey AS order_id, round(l_extendedprice * (1 - l_discount), 6) AS net, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R'")
 def computed_columns(spark, d):
-    return t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("order_id"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("net"), F.col("l_linenumber").alias("line"))
+    return t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("order_id"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6).alias("net"), F.col("l_linenumber").alias("line"))
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS answer FROM customer")
@@ -346,7 +346,7 @@ def top_k_larger_index(spark, d):
 SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 3""")
 def cosine_top_k(spark, d):
     e = t(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.first("embedding").alias("q")).scalar()
+    q = F.array(*[F.lit(float(x)) for x in e.where("vec_id = 0").select("embedding").first()[0]])
     return e.select("vec_id", F.round(S.cosine(F.col("embedding"), q), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(3)
 
 
