@@ -74,4 +74,36 @@ ORACLE = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op6_near_dedup": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+        n AS (SELECT d.doc_id, count(s) AS n FROM d LEFT JOIN sh ON sh.doc_id = d.doc_id GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+        u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(doc_id, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.seen)
+        SELECT n.doc_id, n.n AS n_shingles, min(seen) AS component_id, n.doc_id = min(seen) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2
+    """,
+    "op9_mixing": """
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+                          substr(sha256('1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 3 AS most FROM s),
+        x AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS place,
+                     (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+              FROM w WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(most, weight * (SELECT arg_min(level, place) FROM x WHERE level * weight <= most)) ELSE 0.0 END AS target,
+                     CAST(CAST('0x' || substr(sha256('1|' || coalesce('=' || source, 'null')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS draw FROM x),
+        k AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.draw, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+                     row_number() OVER (PARTITION BY d.source ORDER BY h, d.size) AS rank FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        j AS (SELECT CAST(unnest(range(0, 64)) AS DOUBLE) AS j),
+        c AS (SELECT source, j, any_value(target) AS target, any_value((draw + j / 64.0) % 1.0) AS off,
+                     CAST(sum((floor(rank * rate + (draw + j / 64.0) % 1.0) - floor((rank - 1) * rate + (draw + j / 64.0) % 1.0)) * size) AS BIGINT) AS words FROM k, j GROUP BY 1, 2),
+        o AS (SELECT source, off FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(words - target), j) AS n FROM c) WHERE n = 1)
+        SELECT k.doc_id, k.size, k.source_size, k.target, CAST((floor(rank * rate + off) - floor((rank - 1) * rate + off)) * size AS BIGINT) AS taken
+        FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source
+    """,
 }
