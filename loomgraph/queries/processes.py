@@ -203,9 +203,11 @@ def cypher_match(spark, d):
     return P.cypher(shop(spark, d), "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation {n_name: $name}), (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000 AND c.c_acctbal > 0 RETURN DISTINCT c.c_custkey AS who, o.o_orderkey AS ord", {"name": name})
 
 
-@query(f"WITH RECURSIVE {SQL_NATIONS}, r(node, depth) AS (SELECT DISTINCT dst, 1 FROM g3 WHERE src = 3 UNION SELECT g3.dst, depth + 1 FROM r JOIN g3 ON g3.src = r.node WHERE depth < 2) SELECT DISTINCT CAST(node AS BIGINT) AS node FROM r")
+@query(f"WITH RECURSIVE {SQL_NATIONS}, r(node, depth) AS (SELECT DISTINCT dst, 1 FROM g3 WHERE src = (SELECT min(src) FROM g3) UNION SELECT g3.dst, depth + 1 FROM r JOIN g3 ON g3.src = r.node WHERE depth < 2) SELECT DISTINCT CAST(node AS BIGINT) AS node FROM r")
 def cypher_variable_length(spark, d):
-    return P.cypher(shop(spark, d), "MATCH (a:Nation {n_nationkey: 3})-[:SENDS*1..2]->(b:Nation) RETURN DISTINCT b.n_nationkey AS node").select(F.col("node").cast("long").alias("node"))
+    g = shop(spark, d)
+    first = g.edges["SENDS"][0].agg(F.min("src")).first()[0]
+    return P.cypher(g, "MATCH (a:Nation {n_nationkey: $first})-[:SENDS*1..2]->(b:Nation) RETURN DISTINCT b.n_nationkey AS node", {"first": first}).select(F.col("node").cast("long").alias("node"))
 
 
 @query("SELECT c_custkey AS who FROM customer WHERE c_acctbal > 5000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")

@@ -133,7 +133,7 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace(part(1), "[<>]", "").alias("s"), part(2).alias("p"), F.regexp_replace(o, '^[<"]|[>"]$', "").alias("o"), kind.alias("o_kind"), F.when(kind == "literal", F.coalesce(F.nullif(part(4), F.lit("")), F.lit("xsd:string"))).alias("o_datatype"))
 
 
-JSON_LD = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+JSON_LD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
 def extract_jsonld(html: Column) -> Column:
@@ -142,29 +142,32 @@ def extract_jsonld(html: Column) -> Column:
 
 
 def flatten_jsonld(body: str) -> list[tuple[str, str, str]]:
-    """(s, p, o) of one JSON-LD object: @context is left out, @type is the predicate a, nested objects become _:b1, _:b2 .. in the order
-    they open; the root is its url, else its name, else _:root."""
-    out: list = []
-    made = 0
-
-    def walk(obj: dict, subject: str) -> None:
-        nonlocal made
-        for k, v in obj.items():
-            if k == "@context":
-                continue
-            for item in v if isinstance(v, list) else [v]:
-                if isinstance(item, dict):
-                    made += 1
-                    node = f"_:b{made}"
-                    out.append((subject, k, node))
-                    walk(item, node)
-                else:
-                    out.append((subject, "a" if k == "@type" else k, item if isinstance(item, str) else json.dumps(item)))
-
-    obj = json.loads(body)
-    for one in obj if isinstance(obj, list) else [obj]:
-        walk(one, one.get("url") or one.get("name") or "_:root")
-    return out
+    """(s, p, o) of the JSON-LD objects in a body: @context is left out, @type is the predicate a, lists give a row for each item, nested
+    objects become _:b1, _:b2 .. in the order they open; an object's own name is its url, else its name, else _:root."""
+    parsed = json.loads(body)
+    roots = parsed if isinstance(parsed, list) else [parsed]
+    rows: list[tuple[str, str, str]] = []
+    opened = 0
+    # A stack of (subject, remaining pairs) keeps document order without recursion, however deep the nesting.
+    stack = [(r.get("url") or r.get("name") or "_:root", iter(_pairs(r))) for r in reversed(roots)]
+    while stack:
+        subject, pairs = stack[-1]
+        pair = next(pairs, None)
+        if pair is None:
+            stack.pop()
+        elif isinstance(pair[1], dict):
+            opened += 1
+            rows.append((subject, pair[0], f"_:b{opened}"))
+            stack.append((f"_:b{opened}", iter(_pairs(pair[1]))))
+        else:
+            rows.append((subject, pair[0], pair[1] if isinstance(pair[1], str) else json.dumps(pair[1])))
+    return rows
+
+
+def _pairs(obj: dict) -> list[tuple[str, object]]:
+    """(predicate, one value) in order, without @context."""
+    named = [("a" if k == "@type" else k, v) for k, v in obj.items() if k != "@context"]
+    return [(k, one) for k, v in named for one in (v if isinstance(v, list) else [v])]
 
 
 def jsonld_triples(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:

@@ -142,7 +142,7 @@ def test_turtle_and_sparql(spark):
 
 def test_jsonld():
     body = '{"@context": "s", "@type": "Org", "url": "http://u", "employee": {"@type": "Person", "name": "P"}, "rating": {"value": 4.5}}'
-    assert R.flatten_jsonld(body) == [("http://u", "a", "Org"), ("http://u", "employee", "_:b1"), ("_:b1", "a", "Person"), ("_:b1", "name", "P"), ("http://u", "rating", "_:b2"), ("_:b2", "value", "4.5")]
+    assert R.flatten_jsonld(body) == [("http://u", "a", "Org"), ("http://u", "url", "http://u"), ("http://u", "employee", "_:b1"), ("_:b1", "a", "Person"), ("_:b1", "name", "P"), ("http://u", "rating", "_:b2"), ("_:b2", "value", "4.5")]
 
 
 def test_cypher(spark):
