@@ -228,7 +228,7 @@ def random_graph(spark: SparkSession, n: int, degree: int, seed: int = 1, skew:
     b = F.when(u(3) < bridges, F.floor(u(4) * n)).otherwise(inside)
     w = (F.floor(u(5) * 9) + 1) * F.when(u(6) < negative, -1).otherwise(1)
     out = e.select(a.cast("long").alias("src"), F.least(b, F.lit(n - 1)).cast("long").alias("dst"), w.cast("long").alias("w"))
-    return out.where("src <> dst").dropDuplicates(["src", "dst"])
+    return out.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
 def extractor(docs: DataFrame, answers: DataFrame) -> DataFrame:
