@@ -33,9 +33,13 @@ def _fold() -> np.ndarray:
 
 def _letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points of all rows end to end, runs of non-letters as one 1, and the rows' offsets."""
-    codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    begun = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    offs = begun[offsets]
+    try:
+        codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        offs = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
+    except UnicodeError:  # bytes that are no UTF-8: row by row, each such byte as a replacement character
+        rows = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+        codes = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+        offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     codes = _fold()[codes]
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 1) | (codes[:-1] != 1)

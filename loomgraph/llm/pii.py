@@ -20,7 +20,7 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}"
 SECRET = r"(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[ \t]*[:=][ \t]*[\"']?)[A-Za-z0-9+/_-]{16,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-]?[0-9]{1,2}(?:[ .-][0-9]{2}){4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"
 YMD = r"(?<![0-9A-Za-z./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DMY = r"(?<![0-9A-Za-z./-])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])"
 MDY = r"(?<![0-9A-Za-z./-])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])"

@@ -34,8 +34,7 @@ def _write_part(folder: str, tokenizer: str, end_id: int):
 
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"  # an attempt's own file: a lost attempt's is never read
-        words = WordTokenizer.at(tokenizer)
-        words.tok.encode_special_tokens = True  # their strings in a text are ordinary text, so only documents end with end_id
+        words = WordTokenizer.at(tokenizer, literal=True)  # so that only documents end with end_id
         fs, path = _open(folder)
         fs.create_dir(path, recursive=True)
         tokens, place = 0, 0

@@ -3,7 +3,7 @@
 The tokenizer file is read with the `tokenizers` library and stays the authority. What is sped up is only repetition:
 the pre-tokens of a batch are found and hashed as byte spans, each distinct pre-token is given to the library once
 (a running cache per worker process), and the identifiers are laid out again by index. Rows that the byte scan does not
-cover (characters above U+00FF, apostrophes, the strings of special tokens) go to the library whole.
+cover (characters above U+00FF, the strings of special tokens, broken UTF-8) go to the library whole.
 """
 
 from __future__ import annotations
@@ -53,18 +53,20 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class WordTokenizer:
     """encode(raw, offsets) gives the identifiers of all rows end to end and the rows' offsets in them."""
 
-    _made: dict[str, "WordTokenizer"] = {}
+    _made: dict[tuple[str, bool], "WordTokenizer"] = {}
 
     @classmethod
-    def at(cls, path: str) -> "WordTokenizer":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def at(cls, path: str, literal: bool = False) -> "WordTokenizer":
+        """The worker process's tokenizer of that file; literal: strings of special tokens in a text are ordinary text."""
+        if (path, literal) not in cls._made:
+            cls._made[path, literal] = cls(path, literal)
+        return cls._made[path, literal]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = literal
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(size, bool)
         for word, i in self.tok.get_vocab(with_added_tokens=True).items():
@@ -93,7 +95,12 @@ class WordTokenizer:
             join[lead + 1] = True
             up = three & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)
             low[lead[up] + 1] += 0x20
-        odd = np.flatnonzero((raw >= 0xC4) | (raw == 0x27))
+        high = np.flatnonzero(raw >= 0x80)
+        starts_row = lambda at: offsets[np.minimum(np.searchsorted(offsets, at), len(offsets) - 1)] == at
+        second, led = (raw[high] < 0xC0), (raw[np.maximum(high - 1, 0)] >> 1) == 0x61  # 0xC2 or 0xC3 before it
+        followed = (raw[np.minimum(high + 1, len(raw) - 1)] & 0xC0) == 0x80
+        fine = np.where(second, led & ~starts_row(high), followed & ~starts_row(high + 1))
+        odd = high[(raw[high] >= 0xC4) | ~fine]
         pipe = np.flatnonzero(raw == 0x7C)
         pipe = pipe[pipe > 0]
         odd = np.concatenate([odd, pipe[raw[pipe - 1] == 0x3C]])
@@ -105,12 +112,30 @@ class WordTokenizer:
             first &= ~join
             edge = offsets[1:-1]
             first[edge[edge < len(raw)]] = True
+        self._contractions(low, kind, offsets, first)
         begin = np.flatnonzero(first)
         end = np.append(begin[1:], len(raw))
         keep = kind[begin] != _BLANK
         begin, end = begin[keep], end[keep]
         return low, begin, end, np.searchsorted(begin, offsets), slow
 
+    @staticmethod
+    def _contractions(low: np.ndarray, kind: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> None:
+        """Let 's 't 're 've 'm 'll 'd be pre-tokens of their own where a pre-token starts with the apostrophe."""
+        at = np.flatnonzero(low == 0x27)
+        at = at[first[at]]
+        if not len(at):
+            return
+        stop = offsets[np.searchsorted(offsets, at, "right")]  # the row's end
+        one, two = low[np.minimum(at + 1, len(low) - 1)], low[np.minimum(at + 2, len(low) - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & (at + 2 <= stop)
+        pair = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        length = np.where(short, 1, np.where(pair & (at + 3 <= stop), 2, 0))
+        first[at[length > 0] + 1] = False
+        first[at[length > 1] + 2] = False
+        after = (at + 1 + length)[length > 0]
+        first[after[after < len(first)]] = True
+
     def _learn(self, low: np.ndarray, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         """Have the library tokenize words not seen before, all in a few calls, and add them to the cache."""
         data = low.tobytes()

@@ -111,6 +111,12 @@ def test_profiles_against_counting():
     assert {name(int(g)): int(n) for g, n in zip(grams, counts)} == dict(want)
 
 
+def test_broken_bytes_are_no_letters():
+    rows = [b"abc", b"\xff\xfe", b"d\xc3"]
+    letters, offs = language_id._letters(np.frombuffer(b"".join(rows), np.uint8), np.array([0, 3, 5, 7]))
+    assert [letters[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [[97, 98, 99], [1], [100, 1]]
+
+
 def test_media_round_trips():
     rng = np.random.default_rng(3)
     for shape in ((1, 1, 3), (5, 7, 3), (64, 3, 3)):

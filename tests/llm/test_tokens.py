@@ -20,7 +20,7 @@ def ids(text):
 def encode(texts):
     raw, offsets = text_buffer(pa.array(texts, pa.string()))
     out = []
-    for lo, hi, flat, offs in WordTokenizer(default_tokenizer()).encode(raw, offsets):
+    for lo, hi, flat, offs in WordTokenizer.at(default_tokenizer()).encode(raw, offsets):
         out += [flat[offs[i] : offs[i + 1]].tolist() for i in range(hi - lo)]
     return out
 
@@ -30,6 +30,12 @@ def test_same_as_the_library():
     assert encode(texts) == [ids(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="'stmdrevl !.1aé\u00a0", max_size=12), min_size=1, max_size=6))
+def test_apostrophes(texts):
+    assert encode(texts) == [ids(t) for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), min_size=1, max_size=8))
 def test_same_as_the_library_on_any_text(texts):
@@ -37,6 +43,15 @@ def test_same_as_the_library_on_any_text(texts):
     assert encode(texts) == [ids(t) for t in texts]
 
 
+def test_broken_bytes_do_not_crash():
+    rows = [b"ok caf\xc3\xa9", b"bad \xc3", b"\xa9 lone", b"\xc3(x", b"\xff\xfe", b""]
+    raw, offsets = text_buffer(pa.array(rows, pa.binary()))
+    out = []
+    for lo, hi, flat, offs in WordTokenizer.at(default_tokenizer()).encode(raw, offsets):
+        out += [flat[offs[i] : offs[i + 1]].tolist() for i in range(hi - lo)]
+    assert out == [ids(r.decode("utf-8", "replace")) for r in rows]
+
+
 def check_packing(out, rows, cap=4096, documents=None, attention=None):
     by_doc, bins = {}, {}
     for r in out:
