@@ -97,7 +97,7 @@ def test_link_prediction(spark):
     assert r.common == 2 and math.isclose(r.adamic_adar, 1 / math.log(2) + 1 / math.log(3))
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=15))
 def test_components_of_any_graph(spark, pairs):
     root = list(range(13))
