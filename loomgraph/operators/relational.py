@@ -108,7 +108,8 @@ def k_anonymity(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, col: str, name: str = "share") -> DataFrame:
-    return df.withColumn(name, F.col(col) / F.sum(col).over(Window.partitionBy()))
+    """col over its sum. The sum is a scalar subquery, so rows stay where they are (an empty window would gather them in one task)."""
+    return df.withColumn(name, F.col(col) / df.agg(F.sum(col).alias("__sum")).select("__sum").scalar())
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[str], col: str) -> DataFrame:
