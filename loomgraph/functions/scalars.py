@@ -18,7 +18,8 @@ def char_ngrams(text: Column, n: int = 2) -> Column:
     """All character n-grams, in order, of the text without anything but letters, digits and Hangul; empty if too short."""
 
     def grams(s: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))
+        # By an array of characters: substr() counts characters from the start each time, which is quadratic in a long text.
+        every = let(F.split(s, ""), lambda c: F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(n)), "")))
         return F.when(F.length(s) >= n, every).otherwise(F.array().cast("array<string>"))
 
     return let(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_GRAM_CHAR, ""), grams)

@@ -402,7 +402,7 @@ def engines_agree(spark, d):
 @query("""WITH s AS (SELECT doc_id, regexp_replace(text, '[^0-9A-Za-z가-힣]', '', 'g') AS s FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM s WHERE length(s) >= 2)
 SELECT gram, count(DISTINCT doc_id) AS df FROM g GROUP BY 1""")
 def char_ngrams(spark, d):
-    g = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(S.char_ngrams(F.col("text")))).alias("gram"))
+    g = t(spark, d, "documents").select("doc_id", F.explode(S.char_ngrams(F.col("text"))).alias("gram")).distinct()
     return g.groupBy("gram").agg(F.count("*").alias("df"))
 
 
