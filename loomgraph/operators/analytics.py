@@ -18,6 +18,7 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 
 def pair_distances(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     """(source, node, hop) from every source at once: one frontier of pairs a round."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     seen = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hop")), "pairs")
     frontier = seen
     for hop in range(1, max_hops + 1):
@@ -40,6 +41,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 64) -> Dat
 
     Forward levels keep the number of shortest paths for each (source, node); dependencies flow back level by level.
     """
+    edges = materialize(edges.select("src", "dst"), "graph")
     seen = materialize(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hop"), F.lit(1.0).alias("sigma")), "brandes")
     frontier, last = seen, 0
     for hop in range(1, max_hops + 1):
@@ -72,6 +74,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 64) -> Dat
 
 def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """(node, score): power iteration, scaled to a largest score of 1."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     x = materialize(edges.select(F.col("src").alias("node")).distinct().withColumn("score", F.lit(1.0)), "eigen")
     for _ in range(rounds):
         y = edges.join(x, F.col("dst") == F.col("node")).groupBy("src").agg(F.sum("score").alias("y"))
@@ -87,6 +90,7 @@ def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-9) ->
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-10, fix_sinks: bool = True) -> DataFrame:
     """(node, score) over directed (src, dst); parallel edges count each. Mass of nodes without out-edges is dealt to all, or
     lost if fix_sinks is false. Out-degrees are joined once; a round is one join and one combined aggregate by node."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     nodes = materialize(nodes, "pagerank")
     n = nodes.count()
@@ -109,6 +113,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 200, toleran
 def label_propagation(edges: DataFrame, rounds: int = 12) -> DataFrame:
     """(node, label): synchronous rounds, each node takes its neighbours' most frequent label, ties to the smallest. Stops early when
     nothing changes. (An asynchronous order is not reproducible over partitions; this form is.)"""
+    edges = materialize(edges.select("src", "dst"), "graph")
     x = materialize(edges.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "lpa")
     for _ in range(rounds):
         votes = edges.join(x, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.count("*").alias("n"))
@@ -131,6 +136,7 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
 
 def greedy_modularity(edges: DataFrame, max_rounds: int = 200, gamma: float = 1.0) -> DataFrame:
     """(node, label): merge the pair of communities of largest gain until none gains; ties to the smallest labels. For small graphs."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     labels = materialize(edges.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "greedy")
     two_m = edges.count()
     for _ in range(max_rounds):

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.storage import materialize
+
 
 # -- projection and filter -------------------------------------------------------------------------------------------
 def match_triples(triples: DataFrame, s=None, p=None, o=None) -> DataFrame:
@@ -54,6 +56,7 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, markers: list[str]
 # -- joins -----------------------------------------------------------------------------------------------------------
 def walk_endpoints(edges: DataFrame, start: Column, hops: int) -> DataFrame:
     """End nodes of walks of exactly `hops` steps from each start (revisits count, as in a chain of self-joins), distinct."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     out = edges.where(start).select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
     for _ in range(hops - 1):
         step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))

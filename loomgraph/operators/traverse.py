@@ -36,6 +36,7 @@ def csr(edges: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     """(node, hop): distance from the nearest start, at most max_hops. A round joins only the last frontier with the edges."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     seen = materialize(starts.select("node").distinct().withColumn("hop", F.lit(0)), "bfs")
     frontier = seen
     for hop in range(1, max_hops + 1):
@@ -56,6 +57,7 @@ def bfs_levels(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
 def walk_depths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(node, depth) pairs of walks from the starts: a node reachable at two depths is there twice. One distinct a level, so
     rows stay below nodes * depth, unlike a recursive UNION ALL."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     level = starts.select("node").distinct().withColumn("depth", F.lit(0))
     out = level
     for k in range(1, depth + 1):
@@ -66,6 +68,7 @@ def walk_depths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def shortest_path(edges: DataFrame, start, goal, max_hops: int = 8) -> DataFrame:
     """One row (path, visited): the least shortest path by node order, none if there is no path within max_hops."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     seen = materialize(spark.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>"), "path")
@@ -85,6 +88,7 @@ def shortest_path(edges: DataFrame, start, goal, max_hops: int = 8) -> DataFrame
 
 def bidirectional_distance(edges: DataFrame, start, goal, max_hops: int = 8) -> DataFrame:
     """One row (distance, visited) by two frontiers that grow in turn until they meet: each reaches only half as deep."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -166,6 +170,7 @@ def shortest_distances(edges: DataFrame, start, max_rounds: int, directed: bool
 
 def count_paths(edges: DataFrame, start, goal, max_hops: int) -> DataFrame:
     """One row (paths): distinct paths from start to goal in a DAG, summed level by level (never enumerated)."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     kind = edges.schema["src"].dataType.simpleString()
     level = edges.sparkSession.createDataFrame([(start, 1)], f"node {kind}, n int").select("node", F.col("n").cast("decimal(38,0)").alias("n"))
     total = 0
@@ -181,6 +186,7 @@ def count_paths(edges: DataFrame, start, goal, max_hops: int) -> DataFrame:
 
 def all_shortest_paths(edges: DataFrame, start, goal, max_hops: int) -> DataFrame:
     """path: every shortest path from start to goal, grown backwards along edges that come one step closer."""
+    edges = materialize(edges.select("src", "dst"), "graph")
     starts = edges.sparkSession.createDataFrame([(start,)], f"node {edges.schema['src'].dataType.simpleString()}")
     dist = materialize(bfs(edges, starts, max_hops), "asp")
     hops = dist.where(F.col("node") == goal).select("hop").first()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.storage import materialize
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -34,7 +36,7 @@ SQL_CUSTOMER_PART = "g1 AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM
 
 def g_suppliers(spark: SparkSession, d: str) -> DataFrame:
     """a < b suppliers of a common part, w = common parts; only pairs in the top 15 % by w (the graph is complete otherwise)."""
-    w = copart_weights(spark, d)
+    w = materialize(copart_weights(spark, d), "coparts")  # used twice: for the cut and for the edges
     cut = w.agg(F.percentile("w", F.lit(0.85)).alias("cut")).select("cut").scalar()
     return w.where(F.col("w") >= cut)
 
@@ -62,7 +64,7 @@ def g_nations(spark: SparkSession, d: str) -> DataFrame:
     """supplier nation -> customer nation, w = lines, no loops, top 15 % by w."""
     o, l, s, c = (t(spark, d, n) for n in ("orders", "lineitem", "supplier", "customer"))
     e = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    w = e.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("w")).where("src <> dst")
+    w = materialize(e.groupBy(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("w")).where("src <> dst"), "nations")
     cut = w.agg(F.percentile("w", F.lit(0.85)).alias("cut")).select("cut").scalar()
     return w.where(F.col("w") >= cut)
 

@@ -74,14 +74,14 @@ def recursive_reach(spark, d):
 
 @query(f"WITH {SQL_SUPPLIERS}, {sql_bfs(6)} SELECT CAST(max(hop) AS INTEGER) AS length FROM s6 WHERE node = (SELECT max(src) FROM g2u)")
 def shortest_path(spark, d):
-    e = both_ways(g_suppliers(spark, d)).select("src", "dst").cache()
+    e = both_ways(g_suppliers(spark, d)).select("src", "dst")
     a, b = e.agg(F.min("src"), F.max("src")).first()
     return T.shortest_path(e, a, b, 6).select((F.size("path") - 1).alias("length"))
 
 
 @query(f"WITH {SQL_SUPPLIERS}, {sql_bfs(6)} SELECT CAST(max(hop) AS INTEGER) AS distance FROM s6 WHERE node = (SELECT max(src) FROM g2u)")
 def bidirectional_search(spark, d):
-    e = both_ways(g_suppliers(spark, d)).select("src", "dst").cache()
+    e = both_ways(g_suppliers(spark, d)).select("src", "dst")
     a, b = e.agg(F.min("src"), F.max("src")).first()
     return T.bidirectional_distance(e, a, b, 6).select("distance")
 
@@ -135,7 +135,7 @@ def bellman_ford(spark, d):
 r(node, n, depth) AS (SELECT s, CAST(1 AS HUGEINT), 0 FROM lo UNION ALL SELECT dag.dst, sum(r.n), r.depth + 1 FROM r JOIN dag ON dag.src = r.node WHERE r.depth < 25 GROUP BY dag.dst, r.depth)
 SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS paths FROM r WHERE node = (SELECT max(dst) FROM dag)""")
 def count_paths(spark, d):
-    e = g_nations(spark, d).where("src < dst").select("src", "dst").cache()
+    e = g_nations(spark, d).where("src < dst").select("src", "dst")
     a, b = e.agg(F.min("src"), F.max("dst")).first()
     return T.count_paths(e, a, b, 25)
 
@@ -144,7 +144,7 @@ def count_paths(spark, d):
 SELECT CASE WHEN (SELECT hop FROM h) = 1 THEN 1 WHEN (SELECT hop FROM h) = 2 THEN (SELECT count(*) FROM s3 a JOIN g2u e ON e.src = a.node, goal WHERE a.hop = 1 AND e.dst = g)
 ELSE (SELECT count(*) FROM s3 a JOIN g2u e ON e.src = a.node AND a.hop = 1 JOIN s3 b ON b.node = e.dst AND b.hop = 2 JOIN g2u f ON f.src = b.node, goal WHERE f.dst = g) END AS paths""")
 def all_shortest_paths(spark, d):
-    e = both_ways(g_suppliers(spark, d)).select("src", "dst").cache()
+    e = both_ways(g_suppliers(spark, d)).select("src", "dst")
     a, b = e.agg(F.min("src"), F.max("src")).first()
     return T.all_shortest_paths(e, a, b, 3).agg(F.count("*").alias("paths"))
 
@@ -170,7 +170,7 @@ def chain_to_root(spark, d):
 @query(f"""WITH RECURSIVE {SQL_NATIONS}, ag(n) AS (SELECT min(src) FROM g3 UNION SELECT dst FROM g3 JOIN ag ON src = n), u AS (SELECT DISTINCT s_suppkey, s_acctbal FROM supplier WHERE s_nationkey IN (SELECT n FROM ag))
 SELECT (SELECT count(*) FROM ag) AS agents, count(*) AS resources, CAST(sum(CAST(floor(s_acctbal) AS BIGINT)) AS BIGINT) AS score FROM u""")
 def blast_radius(spark, d):
-    e = g_nations(spark, d).select("src", "dst").cache()
+    e = g_nations(spark, d).select("src", "dst")
     s = t(spark, d, "supplier")
     uses = s.select(F.col("s_nationkey").cast("long").alias("agent"), F.col("s_suppkey").alias("resource"))
     values = s.select(F.col("s_suppkey").alias("resource"), F.floor("s_acctbal").cast("long").alias("value"))
@@ -184,7 +184,7 @@ def edge_locality(spark, d):
 
 @query(f"WITH {SQL_SUPPLIERS}, {sql_bfs(6)} SELECT node, row_number() OVER (ORDER BY hop, node) - 1 AS label FROM s6")
 def bfs_relabel(spark, d):
-    e = both_ways(g_suppliers(spark, d)).select("src", "dst").cache()
+    e = both_ways(g_suppliers(spark, d)).select("src", "dst")
     return T.bfs_relabel(e, e.agg(F.min("src")).first()[0], 6)
 
 
@@ -214,7 +214,7 @@ def nations_both(spark, d):
 
 @query(f"WITH {SQL_NATIONS}, {sql_pairs(6)} SELECT source AS node, round(coalesce((count(*) - 1) / nullif(sum(hop), 0), 0), 9) AS score FROM q6 GROUP BY 1")
 def closeness(spark, d):
-    e = nations_both(spark, d).cache()
+    e = nations_both(spark, d)
     return A.closeness(e, e.select(F.col("src").alias("node")).distinct(), 6).select("node", F.round("score", 9).alias("score"))
 
 
@@ -223,7 +223,7 @@ b AS (SELECT v.node, sum(sv.sigma * vt.sigma / st.sigma) AS score FROM q6 st JOI
 WHERE st.source <> st.node AND v.node <> st.source AND v.node <> st.node AND sv.hop + vt.hop = st.hop GROUP BY 1)
 SELECT n.node, round(coalesce(score, 0), 6) AS score FROM n LEFT JOIN b ON n.node = b.node""")
 def betweenness(spark, d):
-    e = nations_both(spark, d).cache()
+    e = nations_both(spark, d)
     return A.betweenness(e, e.select(F.col("src").alias("node")).distinct(), 6).select("node", F.round("score", 6).alias("score"))
 
 
@@ -237,7 +237,7 @@ def sql_eigen(rounds: int) -> str:
 
 @query(f"WITH {SQL_SUPPLIERS}, {sql_eigen(5)} SELECT node, round(s, 7) AS score FROM x5")
 def eigenvector(spark, d):
-    e = both_ways(g_suppliers(spark, d)).select("src", "dst").cache()
+    e = both_ways(g_suppliers(spark, d)).select("src", "dst")
     return A.eigenvector(e, rounds=5).select("node", F.round("score", 7).alias("score"))
 
 
@@ -263,7 +263,7 @@ def sql_labels(rounds: int) -> str:
 
 @query(f"WITH {SQL_SUPPLIERS}, {sql_labels(4)} SELECT node, label FROM l4")
 def label_propagation(spark, d):
-    return A.label_propagation(both_ways(g_suppliers(spark, d)).select("src", "dst").cache(), rounds=4)
+    return A.label_propagation(both_ways(g_suppliers(spark, d)).select("src", "dst"), rounds=4)
 
 
 @query(f"""WITH {SQL_SUPPLIERS}, m AS (SELECT count(*) AS m2 FROM g2u), p AS (SELECT src % 4 AS label, count(*) FILTER (src % 4 = dst % 4) AS inside, count(*) AS deg FROM g2u GROUP BY 1)
@@ -298,7 +298,7 @@ def resolution_limit(spark, d):
 @query(f"""WITH {SQL_SUPPLIERS}, {sql_labels(2)}, tr AS (SELECT l_suppkey AS s, l_returnflag AS o FROM lineitem), c AS (SELECT label, o, count(*) AS n FROM tr JOIN l2 ON node = s GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, o) AS r FROM c) SELECT label, (SELECT count(*) FROM l2 x WHERE x.label = r.label) AS members, string_agg(o || ' x' || n, ', ' ORDER BY r) AS causes FROM r WHERE r <= 3 GROUP BY label""")
 def community_summary(spark, d):
-    labels = A.label_propagation(both_ways(g_suppliers(spark, d)).select("src", "dst").cache(), rounds=2)
+    labels = A.label_propagation(both_ways(g_suppliers(spark, d)).select("src", "dst"), rounds=2)
     triples = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("o"))
     return A.community_summary(labels, triples)
 
