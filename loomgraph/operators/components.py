@@ -42,5 +42,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     out = maps[0]
     for to in maps[1:]:
         out = out.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-    least = out.groupBy("to").agg(F.min("node").alias("component"))
+    # Written first, so that the join back can be split or broadcast; straight onto the aggregate it would gather a component in one task.
+    out = materialize(out, "roots") if len(maps) > 1 else out
+    least = materialize(out.groupBy("to").agg(F.min("node").alias("component")), "least")
     return materialize(out.join(least, "to").select("node", "component"), "components")
