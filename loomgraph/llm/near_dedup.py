@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = live.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     near = connected_components(proposals(classes, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("near"))
-    near = materialize(near.join(near.groupBy("near").agg(F.count("*").alias("m")), "near"), "near")
+    # Counts are written first: a join straight onto an aggregate would gather a hot component's rows by its key in one task, while
+    # a join of two tables can be split or broadcast at run time.
+    near = materialize(near.join(materialize(near.groupBy("near").agg(F.count("*").alias("m")), "sizes"), "near"), "near")
     texts = materialize(docs.select("doc_id", "text").join(near.select("doc_id"), "doc_id"), "texts")
     h = F.xxhash64("doc_id")
     chunk = F.pmod(h, _chunks(F.col("m")))
@@ -280,9 +282,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if not large.isEmpty():
         part = connected_components(links)
         large = large.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "near", F.coalesce("component", "doc_id").alias("part"))
-        size = large.groupBy("near", "part").agg(F.count("*").alias("k"))
+        large = materialize(large, "parts")
+        size = materialize(large.groupBy("near", "part").agg(F.count("*").alias("k")), "sizes")
         large = large.join(size, ["near", "part"]).withColumn("pure", F.when(F.col("k") >= CHUNK // 2, F.col("part")))
         pool = large.groupBy("near", "pure").agg(F.count("*").alias("p")).withColumnRenamed("near", "near2").withColumnRenamed("pure", "pure2")
+        pool = materialize(pool, "sizes")
         large = large.join(pool, (F.col("near") == F.col("near2")) & F.col("pure").eqNullSafe(F.col("pure2")))
         large = materialize(large.select("doc_id", "near", "pure", F.xxhash64("near", F.coalesce("pure", F.lit(-1)), F.pmod(h, _chunks(F.col("p")))).alias("chunk")), "chunks")
         one = large.select("near", "chunk", "pure").distinct()
