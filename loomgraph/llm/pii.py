@@ -254,11 +254,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     """docs with `text_col` rewritten, and `found_col`: array of the kinds replaced, in order (empty if none, also for a null text).
 
     Kinds: email, secret, iban, phone, date, ssn, card, ip. Emails and secrets, which have no number to move, get keyed digests in their
-    own form. Null texts stay null; texts without a digit or @ are not searched; all other columns pass unchanged (one named found_col
+    own form. Null texts stay null; texts without a digit, @ or secret are not searched further; all other columns pass unchanged (one named found_col
     is replaced); rows are neither dropped nor moved, so repeated rows stay repeated. No shuffle, no Python.
     """
     text = F.col(f"`{text_col}`")
-    hot = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
+    hot = F.coalesce(text.rlike("[0-9@]") | text.rlike(SECRET), F.lit(False))  # all other formats hold a digit or @
     found = F.when(hot, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     withm = docs.withColumn("__pii_m", found)
     withr = withm.withColumn("__pii_r", F.when(F.size("__pii_m") > 0, F.transform("__pii_m", lambda m: _replacement(m, key))))

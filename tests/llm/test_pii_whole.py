@@ -34,3 +34,12 @@ def test_what_follows_an_iban_is_searched(spark):
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.pii_kinds for r in pii.pseudonymize(df, "k").collect()} == {i: k for i, (_, k) in enumerate(texts)}
+
+
+def test_secrets_of_letters_only(spark):
+    texts = ["password: CorrectHorseBatteryStaple", "api_key=AbCdEfGhIjKlMnOpQrSt", 'Access-Key = "abcdefghijklmnopqrst" and more', "a TOKEN:abcdefghijklmnopqrst"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, f"7 {t}") for i, t in enumerate(texts)] + [(20, "no secret: here"), (21, "password: short")]
+    out = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, t in enumerate(texts):
+        assert out[i].pii_kinds == ["secret"] and out[i].text != t and out[10 + i].text == f"7 {out[i].text}"
+    assert out[20].text == "no secret: here" and out[21].text == "password: short"
