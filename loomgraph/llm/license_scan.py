@@ -1,12 +1,15 @@
 """License scans by ordered signature rules, in DataFrame expressions only.
 
 Every rule has a priority, a label, a keyword and a regex over the text's words (lower-cased, one blank between). A rule's regex runs
-only on texts that hold its keyword, and no rule runs on texts that hold none of the gate words. All detections of a text keep their word interval; a
+only on texts that hold its keyword and its template's words, which every match of it holds, and no rule runs on texts that hold none of the words of gate(); no
+text that a rule matches is left out by either. All detections of a text keep their word interval; a
 detection inside the interval of one of higher priority (or of equal priority and longer) is suppressed.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The base phrases and labels of the contract.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-#: Texts without any of these are not scanned.
+#: What most rules' matches hold; gate() adds the keywords of the others.
 GATE = ("licen", "copyright", "spdx", "public domain", "warrant", "redistribut", "creative commons", "cc by", "cc0", "rights reserved", "copyleft", "proprietary", "confidential")
 
 V = r"(?: version| v| ver)?"
@@ -26,16 +29,16 @@ OR_LATER = r"(?: or(?: at your option)? any later version| or later| and later)?
 #: Hand-written names: label, keyword, regex of the name's words, regex of its short name or identifier.
 NAMES = (
     ("mit", "mit", r"(?:the )?mit(?: x11| expat)?(?: license| licence)?", r"mit"),
-    ("mit-0", "mit", r"mit no attribution(?: license)?", r"mit 0"),
+    ("mit-0", "mit no", r"mit no attribution(?: license)?", r"mit 0"),
     ("x11", "x11", r"x11 license", r"x11"),
     ("isc", "isc", r"isc license", r"isc"),
     ("apache-1.0", "apache", rf"apache(?: software)? license{V} 1 0", r"apache 1 0"),
     ("apache-1.1", "apache", rf"apache(?: software)? license{V} 1 1", r"apache 1 1"),
     ("apache-2.0", "apache", rf"apache(?: software)? license{V} 2(?: 0)?", r"apache 2(?: 0)?"),
-    ("gpl-1.0", "gnu", rf"(?:gnu )?general public license{V} 1(?: 0)?{OR_LATER}", r"gpl(?:v| v| )?1(?: 0)?(?: only| or later)?"),
+    ("gpl-1.0", "general public", rf"(?:gnu )?general public license{V} 1(?: 0)?{OR_LATER}", r"gpl(?:v| v| )?1(?: 0)?(?: only| or later)?"),
     ("gpl-2.0", "general public", rf"(?:gnu )?general public license{V} 2(?: 0)?{OR_LATER}", r"gpl(?:v| v| )?2(?: 0)?(?: only| or later)?"),
     ("gpl-3.0", "general public", rf"(?:gnu )?general public license{V} 3(?: 0)?{OR_LATER}", r"gpl(?:v| v| )?3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.0", "lesser", rf"(?:gnu )?(?:lesser|library) general public license{V} 2(?: 0)?{OR_LATER}", r"lgpl(?:v| v| )?2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.0", "general public", rf"(?:gnu )?(?:lesser|library) general public license{V} 2(?: 0)?{OR_LATER}", r"lgpl(?:v| v| )?2(?: 0)?(?: only| or later)?"),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public license{V} 2 1{OR_LATER}", r"lgpl(?:v| v| )?2 1(?: only| or later)?"),
     ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public license{V} 3(?: 0)?{OR_LATER}", r"lgpl(?:v| v| )?3(?: 0)?(?: only| or later)?"),
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general public license{V} 3(?: 0)?{OR_LATER}", r"agpl(?:v| v| )?3(?: 0)?(?: only| or later)?"),
@@ -76,7 +79,7 @@ NAMES = (
     ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: license)?", r"cc by"),
     ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: license)?", r"cc by sa"),
     ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?(?: license)?", r"cc by nc"),
-    ("odbl-1.0", "open database", rf"open (?:data commons )?(?:open )?database license{V}(?: 1 0)?", r"odbl 1 0"),
+    ("odbl-1.0", "database license", rf"open (?:data commons )?(?:open )?database license{V}(?: 1 0)?", r"odbl 1 0"),
     ("ofl-1.1", "open font", rf"(?:sil )?open font license{V}(?: 1 1)?", r"ofl 1 1"),
     ("openssl", "openssl", r"openssl license", r"openssl"),
     ("upl-1.0", "universal permissive", rf"universal permissive license{V}(?: 1 0)?", r"upl 1 0"),
@@ -93,6 +96,8 @@ TEMPLATES = (
     (2, None, "license (?:is )?{name}", 0.8),
     (3, None, "{name}", 0.6),
 )
+#: Words of templates outside of all groups; a rule runs only on texts that hold the first of these in its regex.
+FIXED = ("licensed under ", " under ", " the terms ", "license ")
 #: Rules that name no license of the table: priority, label, keyword, regex, strength.
 NOTICES = (
     (4, "copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", 0.5),
@@ -122,6 +127,26 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     return made + list(NOTICES)
 
 
+def gate() -> list[str]:
+    """Words of which every text that any rule matches holds one: GATE, and the keywords of rules whose regex can do without those."""
+    made = set()
+    for _, _, word, regex, _ in rules():
+        least = regex
+        while (shorter := re.sub(r"\(\?:[^()]*\)\?|[a-z]\?(?!:)", "", least)) != least:
+            least = shorter
+        if not any(g in least for g in GATE):
+            made.add(word)
+    return [*(word.split(" ")[0] for word in GATE), *sorted(word.split(" ")[0] for word in made)]
+
+
+def fixed(regex: str) -> str:
+    """The words of FIXED that every match of a rule's regex holds, or none."""
+    bare = regex
+    while (shorter := re.sub(r"\(\?:[^()]*\)\??", "|", bare)) != bare:
+        bare = shorter
+    return next((f for f in FIXED if f in bare), "")
+
+
 def words_of(text: Column) -> Column:
     """' w1 w2 ... wn ' of the words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))
@@ -134,24 +159,28 @@ def _blanks(s: Column) -> Column:
 def places(words: Column, regex: Column) -> Column:
     """array of struct(first, n): first word (from 0) and number of words of every match of regex in words_of()."""
     whole = F.concat(F.lit(" (?:"), regex, F.lit(")(?= )"))
-    found = F.regexp_extract_all(words, whole, F.lit(0))
     none = F.array().cast("array<struct<first:bigint,n:bigint>>")
 
-    def add(s: Column, i: Column) -> Column:
-        first = s["at"] + _blanks(F.get(F.split(words, whole, -1), i))
-        n = _blanks(F.get(found, i))
-        one = F.struct(first.cast("long").alias("first"), n.cast("long").alias("n"))
-        return F.struct((first + n).cast("long").alias("at"), F.concat(s["all"], F.array(one)).alias("all"))
+    def count(cut: Column) -> Column:
+        def add(s: Column, i: Column) -> Column:
+            first = s["at"] + F.get(cut["before"], i)
+            n = F.get(cut["n"], i)
+            one = F.struct(first.alias("first"), n.alias("n"))
+            return F.struct((first + n).alias("at"), F.concat(s["all"], F.array(one)).alias("all"))
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("all"))
+        return F.when(F.size(cut["n"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(cut["n"]) - 1), start, add)["all"]).otherwise(none)
 
-    every = F.sequence(F.lit(0), F.size(found) - 1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("all"))
-    return F.when(F.size(found) > 0, F.aggregate(every, start, add)["all"]).otherwise(none)
+    blanks = lambda parts: F.transform(parts, lambda x: _blanks(x).cast("long"))
+    # The text is cut once, not at every match.
+    cut = F.struct(blanks(F.regexp_extract_all(words, whole, F.lit(0))).alias("n"), blanks(F.split(words, whole, -1)).alias("before"))
+    return F.get(F.transform(F.array(cut), count), F.lit(0))
 
 
 def detections(words: Column) -> Column:
     """array of struct(priority, label, strength, first, n) of all rules' matches, in rule order."""
-    literal = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(word).alias("word"), F.lit(regex).alias("regex"), F.lit(float(s)).alias("strength")) for p, label, word, regex, s in rules()])
-    fired = F.filter(literal, lambda r: F.contains(words, r["word"]))
+    literal = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(word).alias("word"), F.lit(fixed(regex)).alias("fixed"), F.lit(regex).alias("regex"), F.lit(float(s)).alias("strength")) for p, label, word, regex, s in rules()])
+    fired = F.filter(literal, lambda r: F.contains(words, r["word"]) & F.contains(words, r["fixed"]))
 
     def run(r: Column) -> Column:
         return F.transform(places(words, r["regex"]), lambda m: F.struct(r["priority"].alias("priority"), r["label"].alias("label"), r["strength"].alias("strength"), m["first"].alias("first"), m["n"].alias("n")))
@@ -183,8 +212,8 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
     gated = F.lit(False)
-    for word in GATE:
-        gated = gated | low.contains(word.split(" ")[0] if " " in word else word)
+    for word in gate():
+        gated = gated | low.contains(word)
     none = F.array().cast("array<struct<first:bigint,n:bigint>>")
     one = docs.select("doc_id", F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(gated, words_of(text)).alias("w"))
     base = [F.when(F.contains("w", F.lit(f" {phrase} ")), places(F.col("w"), F.lit(phrase))).otherwise(none).alias(f"b{i}") for i, (_, phrase) in enumerate(BASE)]
