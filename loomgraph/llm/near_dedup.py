@@ -1,7 +1,7 @@
 """Near-duplicate groups by MinHash: odd sketches choose, in LSH buckets, the pairs worth checking on full shingle sets.
 
-1. One pass over the texts gives every document its set of word shingles, K MinHash samples, one 64-bit key for each of
-   BANDS bands of ROWS samples, and the odd sketch: a bitmap in which every sample flips one bit. Two sketches' XOR
+1. One pass over the texts gives every document its set of word shingles, K MinHash samples, one 64-bit key for each band of
+   samples (as many rows and bands as layout() derives from the similarity), and the odd sketch: a bitmap in which every sample flips one bit. Two sketches' XOR
    population count estimates how many samples differ, hence the similarity, most precisely where it is high.
 2. Documents of equal sets (a 128-bit digest of the whole set) form one class; one row per class goes on. A class may hold
    any share of all rows: it is a partial aggregate.
@@ -14,8 +14,9 @@
    chunk pair is a bounded task that returns a spanning forest of its true links.
 5. Components of the true links are the answer.
 
-The chance that a pair of similarity J shares no band is (1 - J^ROWS)^BANDS: 1.2e-5 at 0.85, 1.3e-6 at 0.88; a pair is lost only
-if, besides, no chain of links joins it. The sketch's margin is MARGIN standard errors.
+The chance that a pair of similarity J shares no band is (1 - J^rows)^bands: at a threshold of 0.80 (5 rows, 28 bands) 1.5e-5 for a
+pair just there and 2.3e-6 at 0.82, at one of 0.85 (6 rows, 24 bands) 1.2e-5 and 3.1e-7 at 0.88; a pair is lost only if, besides, no
+chain of links joins it. No threshold from 0.08 up has more than MISS. The sketch's margin is MARGIN standard errors.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from loomgraph.operators.components import connected_components
 from loomgraph.storage import materialize
 
 SHINGLE = 5
-ROWS, BANDS = 6, 24
-K = ROWS * BANDS
+#: MinHash samples, the most of them in a band, and the chance of sharing no band that a pair at the threshold may have.
+K = 144
+ROWS = 6
+MISS = 1.5e-5
 SKETCH_BITS = 256
 MARGIN = 4.5
 #: Buckets above this many classes are tied together whole rather than compared by sketch.
@@ -78,13 +81,22 @@ def min_samples(items: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    """(rows, K) samples to (rows, BANDS) keys; a band's number is part of its key."""
-    cut = samples.reshape(len(samples), BANDS, ROWS)
-    key = np.zeros((len(samples), BANDS), np.uint64)
-    for k in range(ROWS):
+def layout(percent: int) -> tuple[int, int]:
+    """Rows of a band and bands: the longest bands by which a pair at the threshold is missed with a chance of MISS at most."""
+    for rows in range(ROWS, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (K // rows) <= MISS:
+            return rows, K // rows
+    return 1, K
+
+
+def band_keys(samples: np.ndarray, percent: int) -> np.ndarray:
+    """(rows, K) samples to (rows, bands) keys; a band's number is part of its key."""
+    rows, bands = layout(percent)
+    cut = samples[:, : rows * bands].reshape(len(samples), bands, rows)
+    key = np.zeros((len(samples), bands), np.uint64)
+    for k in range(rows):
         key = mix64(key + cut[:, :, k] * _M[16 + k])
-    return mix64(key + np.arange(1, BANDS + 1, dtype=np.uint64) * _M[40])
+    return mix64(key + np.arange(1, bands + 1, dtype=np.uint64) * _M[40])
 
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
@@ -102,35 +114,40 @@ def sketch_limit(similarity: float) -> int:
     return min(SKETCH_BITS, math.ceil(expected + 1.5 * math.sqrt(SKETCH_BITS / 4 * (1 - math.exp(-4 * flips / SKETCH_BITS)))))
 
 
-def _sketch_rows(batches):
-    for batch in batches:
-        ids = batch.column(0)
-        raw, offsets = text_buffer(batch.column(1))
-        for lo, hi in slices_by_bytes(offsets, 4_000_000):
-            a, b = offsets[lo], offsets[hi]
-            sets = shingle_sets(raw[a:b], offsets[lo : hi + 1] - a)
-            n = np.array([len(s) for s in sets], np.int64)
-            samples = np.stack([min_samples(s) for s in sets])
-            once = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-            twice = np.array([mix64(s * _M[50]).sum(dtype=np.uint64) for s in sets], np.uint64)
-            keys = band_keys(samples).view(np.int64)
-            bits = odd_sketches(samples)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(lo, hi - lo),
-                    pa.array(n),
-                    pa.array(once.view(np.int64)),
-                    pa.array(twice.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
-                    pa.array([x.tobytes() for x in bits], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "set1", "set2", "bands", "sketch"],
-            )
-
-
-def sketches(docs: DataFrame) -> DataFrame:
+def _sketch_rows(percent: int):
+    bands = layout(percent)[1]
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            raw, offsets = text_buffer(batch.column(1))
+            for lo, hi in slices_by_bytes(offsets, 4_000_000):
+                a, b = offsets[lo], offsets[hi]
+                sets = shingle_sets(raw[a:b], offsets[lo : hi + 1] - a)
+                n = np.array([len(s) for s in sets], np.int64)
+                samples = np.stack([min_samples(s) for s in sets])
+                once = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+                twice = np.array([mix64(s * _M[50]).sum(dtype=np.uint64) for s in sets], np.uint64)
+                keys = band_keys(samples, percent).view(np.int64)
+                bits = odd_sketches(samples)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(lo, hi - lo),
+                        pa.array(n),
+                        pa.array(once.view(np.int64)),
+                        pa.array(twice.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel())),
+                        pa.array([x.tobytes() for x in bits], pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "set1", "set2", "bands", "sketch"],
+                )
+
+    return run
+
+
+def sketches(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (set1, set2), band keys and odd sketch of every document."""
-    return docs.select("doc_id", "text").mapInArrow(_sketch_rows, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(_sketch_rows(percent), "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sketch binary")
 
 
 def _bucket_pairs(bits: np.ndarray, n: np.ndarray, percent: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     whole sequence is the one shingle. Rows repeating a doc_id are one node. A null doc_id takes no part: component_id is
     null and kept is true. Equal texts have equal components; an empty table gives an empty result.
     """
-    all_ = materialize(sketches(docs), "sketches")
+    all_ = materialize(sketches(docs, percent), "sketches")
     live = all_.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
