@@ -12,6 +12,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be none of the columns'."""
+    used, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit("")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import free_names
 from loomgraph.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,12 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     return t.select("source", "source_size", F.when(F.col("source_size") > 0, F.coalesce(share, "most")).otherwise(0.0).alias("target"))
 
 
-#: Offsets tried for each source; the one that brings its words nearest to the target is used.
-OFFSETS = 64
-
-
 def _draw(seed: int) -> Column:
-    """One number in [0, 1) a source, from SHA-256 of the seed and the source."""
+    """One number in [0, 1) a source, from SHA-256 of the seed and the source: its one random offset."""
     text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
@@ -55,61 +52,64 @@ def _copies(offset: Column) -> Column:
     return (F.floor(F.col("rank") * F.col("rate") + offset) - F.floor((F.col("rank") - 1) * F.col("rate") + offset)).cast("long")
 
 
-def mix_sizes(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, offsets: int = OFFSETS) -> DataFrame:
-    """Systematic sampling of sized (doc_id, source, size): adds source_size, target and copies (times that the mix takes the row).
+def _hash_order(seed: int) -> Column:
+    return F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 16)
+
+
+def mix_sizes(sized: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """Systematic sampling of sized (doc_id, source, size, same, row): doc_id, source, size, row, source_size, target and copies.
 
-    A row's expected copies are its source's target over its source's size. Rows of a source are ranked in a seeded hash order of doc_id
-    (then size); a copy is emitted for each whole number that the prefix sum of expected copies, rank * expected + offset, crosses. The
-    rank is a prefix sum in two levels: rows are range-partitioned by (source, hash, size), counted by partition, and numbered inside
-    it, so a source of any size is spread over tasks. A source's offset is a seeded draw, turned by each of j / offsets; of these the
-    turn whose words come nearest to the target is used (the least j if tied). Every turn is a systematic sample of whole documents; a
-    very long document that is in or out is balanced by the others that a turn takes.
+    A row's expected copies are its source's target over its source's size. Rows of a source are ranked by size, then by a seeded hash
+    of doc_id, then by `same` (a hash of the row's content) and `row` (a number of its own, so that rows equal in all else can be
+    split too). A copy is emitted for each whole number that the prefix sum of expected copies, rank * expected + the source's one seeded
+    offset, crosses. In order of size the words taken differ from the target by less than the source's longest document, whatever the offset: partial
+    sums of (copies - expected) stay within 1. The rank is a prefix sum in two levels: rows are range-partitioned by that order,
+    counted by partition, and numbered inside it, so a source of any size is spread over tasks.
     """
-    order = F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 16)
-    plain = materialize(sized.select("doc_id", "source", "size", order.alias("h")), "sizes")
+    plain = materialize(sized.select("doc_id", "source", "size", _hash_order(seed).alias("h"), "same", "row"), "sizes")
     sizes = plain.groupBy("source").agg(F.sum("size").alias("source_size"))
     aim = materialize(targets(sizes, weights, cap), "targets")
-    dealt = plain.repartitionByRange("source", "h", "size").withColumn("part", F.spark_partition_id())
+    order = ("size", "h", "same", "row")
+    dealt = plain.repartitionByRange("source", *order).withColumn("part", F.spark_partition_id())
     dealt = materialize(dealt, "ranges")
     counts = dealt.groupBy("part", "source").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     starts = starts.join(aim.withColumnRenamed("source", "source2"), F.col("source").eqNullSafe(F.col("source2"))).drop("source2")
     starts = starts.withColumnRenamed("source", "source3").withColumnRenamed("part", "part3")
-    inside = Window.partitionBy("part", "source").orderBy("h", "size")
-    ranked = dealt.withColumn("k", F.row_number().over(inside))
+    ranked = dealt.withColumn("k", F.row_number().over(Window.partitionBy("part", "source").orderBy(*order)))
     ranked = ranked.join(starts, (F.col("part") == F.col("part3")) & F.col("source").eqNullSafe(F.col("source3")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    ranked = ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("start") + F.col("k")).alias("rank"), rate.alias("rate"))
-    ranked = materialize(ranked, "ranked")
-    turn = F.pmod(_draw(seed) + F.col("j") / F.lit(float(offsets)), F.lit(1.0))
-    tried = ranked.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(offsets - 1)))).withColumn("offset", turn)
-    words = tried.groupBy("source", "j").agg(F.sum(_copies(F.col("offset")) * F.col("size")).alias("words"), F.first("offset").alias("offset"), F.first("target").alias("target"))
-    best = words.groupBy(F.col("source").alias("source4")).agg(F.min_by("offset", F.struct(F.abs(F.col("words") - F.col("target")), F.col("j"))).alias("offset"))
-    chosen = ranked.join(best, F.col("source").eqNullSafe(F.col("source4")))
-    return chosen.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("offset")).alias("copies"))
+    ranked = ranked.withColumn("rank", F.col("start") + F.col("k")).withColumn("rate", rate)
+    return ranked.select("doc_id", "source", "size", "row", "source_size", "target", _copies(_draw(seed)).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """The mix's account of docs (doc_id, text, source): doc_id, size (words), source_size, target (its source's), taken (copies * size).
 
     A null text has size 0; a source of size 0 has target 0 and takes nothing; null is a source of its own, the last. Rows repeating a
-    doc_id are rows each. copies never exceed cap rounded up. Reruns, also over other partitions, agree. An empty table gives no rows.
+    doc_id are rows each; other columns are ignored. copies never exceed cap rounded up. Reruns, also over other partitions, agree (rows equal in doc_id,
+    source and text share theirs). An empty table gives no rows.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    size = word_count(F.col("text")).alias("size")
+    sized = docs.select("doc_id", "source", size, F.xxhash64("text").alias("same"), F.monotonically_increasing_id().alias("row"))
     out = mix_sizes(sized, seed, weights, cap)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """The mix itself: the rows of docs, with all their columns, each as often as the mix takes it.
+    """The mix itself: the rows of docs (doc_id, text, source), with all their columns, each as often as mix() accounts for it.
 
-    Copies are joined back by a key of doc_id, source and text; equal rows share theirs evenly.
+    The rows are written once with a number of their own, by which their copies come back, so equal rows, null doc_ids and hot sources are
+    no hot keys. Rows equal in doc_id, source and text are told apart by a hash of all their columns; only rows equal in all are
+    interchangeable. Null texts have no words and are never taken; an empty table gives no rows; columns of any name pass unchanged.
     """
-    key = F.xxhash64("doc_id", "source", "text")
-    sized = docs.select(key.alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    takes = mix_sizes(sized, seed, weights, cap).groupBy(F.col("doc_id").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    same = Window.partitionBy("__key").orderBy("__key")
-    rows = docs.withColumn("__key", key).join(takes.where("__copies > 0"), "__key").withColumn("__nth", F.row_number().over(same))
-    times = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    return rows.withColumn("__one", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    row, whole = free_names(docs.columns, "mix_row", "mix_whole")
+    whole_hash = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(whole, whole_hash), "rows")
+    size = word_count(F.col("text")).alias("size")
+    # mix() orders equal doc_ids by their texts; here the whole row comes after that.
+    sized = kept.select("doc_id", "source", size, F.struct(F.xxhash64("text"), F.col(whole)).alias("same"), F.col(row).alias("row"))
+    takes = mix_sizes(sized, seed, weights, cap).where("copies > 0 and size > 0").select(F.col("row").alias(row), F.array_repeat(F.lit(1), F.col("copies").cast("int")).alias(whole))
+    rows = kept.drop(whole).join(takes, row).withColumn(row, F.explode(whole))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

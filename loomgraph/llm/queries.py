@@ -98,12 +98,7 @@ ORACLE = {
         t AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(most, weight * (SELECT arg_min(level, place) FROM x WHERE level * weight <= most)) ELSE 0.0 END AS target,
                      CAST(CAST('0x' || substr(sha256('1|' || coalesce('=' || source, 'null')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS draw FROM x),
         k AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.draw, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-                     row_number() OVER (PARTITION BY d.source ORDER BY h, d.size) AS rank FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        j AS (SELECT CAST(unnest(range(0, 64)) AS DOUBLE) AS j),
-        c AS (SELECT source, j, any_value(target) AS target, any_value((draw + j / 64.0) % 1.0) AS off,
-                     CAST(sum((floor(rank * rate + (draw + j / 64.0) % 1.0) - floor((rank - 1) * rate + (draw + j / 64.0) % 1.0)) * size) AS BIGINT) AS words FROM k, j GROUP BY 1, 2),
-        o AS (SELECT source, off FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(words - target), j) AS n FROM c) WHERE n = 1)
-        SELECT k.doc_id, k.size, k.source_size, k.target, CAST((floor(rank * rate + off) - floor((rank - 1) * rate + off)) * size AS BIGINT) AS taken
-        FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source
+                     row_number() OVER (PARTITION BY d.source ORDER BY d.size, h) AS rank FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, CAST((floor(rank * rate + draw) - floor((rank - 1) * rate + draw)) * size AS BIGINT) AS taken FROM k
     """,
 }

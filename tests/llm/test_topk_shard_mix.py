@@ -1,5 +1,6 @@
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from loomgraph.llm import exact_topk, mixing, sharding
@@ -95,10 +96,29 @@ def test_mix(docs, no_docs, rows):
     assert key(got) == key(mixing.mix(docs.repartition(2), seed=4).collect())
     mixed = mixing.mix_documents(docs, seed=4)
     assert mixed.columns == docs.columns
-    assert sum(words(r.text) for r in mixed.collect()) == sum(r.taken for r in got)
+    out = mixed.collect()
+    assert sum(words(r.text) for r in out) == sum(r.taken for r in got)
+    taken = sum((Counter({(r.doc_id, r.size): r.taken}) for r in got), Counter())
+    assert taken == sum((Counter({(r.doc_id, words(r.text)): words(r.text)}) for r in out), Counter())
+    again = mixing.mix_documents(docs.repartition(3), seed=4).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
     assert mixing.mix(no_docs).collect() == [] and mixing.mix_documents(no_docs).collect() == []
 
 
+def test_mix_of_repeated_rows_and_clashing_columns(spark):
+    """Rows without a number, repeated rows and rows equal but for another column; what is written is what is accounted for."""
+    rows = [(None, "a b c", "s", i % 2, 7) for i in range(40)] + [(5, "a b c d", "s", 1, 1)] * 30 + [(i, "x " * (i % 9), "t", 0, 0) for i in range(50)] + [(None, None, None, 0, 0)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_row int, copies int").repartition(6)
+    got, out = mixing.mix(df, seed=2).collect(), mixing.mix_documents(df, seed=2).collect()
+    taken = sum((Counter({(r.doc_id, r.size): r.taken}) for r in got), Counter())
+    assert len(got) == len(rows) and taken == sum((Counter({(r.doc_id, words(r.text)): words(r.text)}) for r in out), Counter())
+    for source, longest in (("s", 4), ("t", 8)):
+        mine = [r for r in out if r.source == source]
+        target = next(r.target for r in got if r.source_size == sum(words(x[1]) for x in rows if x[2] == source))
+        assert abs(sum(words(r.text) for r in mine) - target) <= longest
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix_documents(df.repartition(2), seed=2).collect()))
+
+
 def test_targets_match_the_iteration(spark):
     rng = np.random.default_rng(0)
     for n in (1, 2, 5, 9):
