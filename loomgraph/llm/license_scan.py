@@ -1,150 +1,121 @@
 """License scans by ordered signature rules, in DataFrame expressions only.
 
-Every rule has a priority, a label, a keyword and a regex over the text's words (lower-cased, one blank between). A rule's regex runs
-only on texts that hold its keyword and its template's words, which every match of it holds, and no rule runs on texts that hold none of the words of gate(); no
-text that a rule matches is left out by either. All detections of a text keep their word interval; a
-detection inside the interval of one of higher priority (or of equal priority and longer) is suppressed.
+Every rule of license_rules.py has a priority, a label, a strength and a regex over the text's words (lower-cased, one blank between). The
+keyword prefilter is read off the regexes: each has beginnings of words that all its matches hold, and runs only on texts in which these
+begin a word. One pass of one alternation finds which keywords a text has; texts with no rule's first keyword are not searched at all.
+No text that a rule matches is left out. Matches are marked in the text where they stand and their word intervals read off in one pass over
+the words; a detection inside the interval of one of higher priority (or of equal priority and longer) is suppressed by one scan
+over the sorted intervals. Time and memory are linear in the text, for any number of matches.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.license_rules import parse
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of texts not yet lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts the words of texts not yet lower-cased.
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 # The base phrases and labels of the contract.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-#: What most rules' matches hold; gate() adds the keywords of the others.
-GATE = ("licen", "copyright", "spdx", "public domain", "warrant", "redistribut", "creative commons", "cc by", "cc0", "rights reserved", "copyleft", "proprietary", "confidential")
-
-V = r"(?: version| v| ver)?"
-OR_LATER = r"(?: or(?: at your option)? any later version| or later| and later)?"
-#: Hand-written names: label, keyword, regex of the name's words, regex of its short name or identifier.
-NAMES = (
-    ("mit", "mit", r"(?:the )?mit(?: x11| expat)?(?: license| licence)?", r"mit"),
-    ("mit-0", "mit no", r"mit no attribution(?: license)?", r"mit 0"),
-    ("x11", "x11", r"x11 license", r"x11"),
-    ("isc", "isc", r"isc license", r"isc"),
-    ("apache-1.0", "apache", rf"apache(?: software)? license{V} 1 0", r"apache 1 0"),
-    ("apache-1.1", "apache", rf"apache(?: software)? license{V} 1 1", r"apache 1 1"),
-    ("apache-2.0", "apache", rf"apache(?: software)? license{V} 2(?: 0)?", r"apache 2(?: 0)?"),
-    ("gpl-1.0", "general public", rf"(?:gnu )?general public license{V} 1(?: 0)?{OR_LATER}", r"gpl(?:v| v| )?1(?: 0)?(?: only| or later)?"),
-    ("gpl-2.0", "general public", rf"(?:gnu )?general public license{V} 2(?: 0)?{OR_LATER}", r"gpl(?:v| v| )?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "general public", rf"(?:gnu )?general public license{V} 3(?: 0)?{OR_LATER}", r"gpl(?:v| v| )?3(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.0", "general public", rf"(?:gnu )?(?:lesser|library) general public license{V} 2(?: 0)?{OR_LATER}", r"lgpl(?:v| v| )?2(?: 0)?(?: only| or later)?"),
-    ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public license{V} 2 1{OR_LATER}", r"lgpl(?:v| v| )?2 1(?: only| or later)?"),
-    ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public license{V} 3(?: 0)?{OR_LATER}", r"lgpl(?:v| v| )?3(?: 0)?(?: only| or later)?"),
-    ("agpl-3.0", "affero", rf"(?:gnu )?affero general public license{V} 3(?: 0)?{OR_LATER}", r"agpl(?:v| v| )?3(?: 0)?(?: only| or later)?"),
-    ("gfdl-1.3", "documentation", rf"(?:gnu )?free documentation license{V} 1 3{OR_LATER}", r"gfdl 1 3(?: only| or later)?"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: license)?", r"bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd)(?: license)?", r"bsd 3 clause"),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd)(?: license)?", r"bsd 4 clause"),
-    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause)(?: license)?", r"0bsd"),
-    ("mpl-1.1", "mozilla", rf"mozilla public license{V} 1 1", r"mpl 1 1"),
-    ("mpl-2.0", "mozilla", rf"mozilla public license{V} 2(?: 0)?", r"mpl 2(?: 0)?"),
-    ("epl-1.0", "eclipse", rf"eclipse public license{V} 1(?: 0)?", r"epl 1 0"),
-    ("epl-2.0", "eclipse", rf"eclipse public license{V} 2(?: 0)?", r"epl 2 0"),
-    ("cddl-1.0", "development and distribution", rf"common development and distribution license{V} 1 0", r"cddl 1 0"),
-    ("cddl-1.1", "development and distribution", rf"common development and distribution license{V} 1 1", r"cddl 1 1"),
-    ("eupl-1.2", "european union", rf"european union public licen[cs]e{V} 1 2", r"eupl 1 2"),
-    ("bsl-1.0", "boost", rf"boost software license{V}(?: 1 0)?", r"bsl 1 0"),
-    ("zlib", "zlib", r"zlib(?: libpng)? license", r"zlib"),
-    ("artistic-1.0", "artistic", r"artistic license 1 0", r"artistic 1 0"),
-    ("artistic-2.0", "artistic", r"artistic license 2 0", r"artistic 2 0"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? license", r"ncsa"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql"),
-    ("python-2.0", "python", rf"python(?: software foundation)? license{V}(?: 2(?: 0)?)?", r"(?:python|psf) 2 0"),
-    ("php-3.01", "php", rf"php license{V} 3 01", r"php 3 01"),
-    ("ruby", "ruby", r"ruby license", r"ruby"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
-    ("wtfpl", "what the", r"do what the (?:fuck|f) you want to public license", r"wtfpl"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
-    ("cc-by-2.0", "cc by", r"cc by 2 0", r"cc by 2 0"),
-    ("cc-by-3.0", "cc by", r"cc by 3 0", r"cc by 3 0"),
-    ("cc-by-4.0", "cc by", r"cc by 4 0", r"cc by 4 0"),
-    ("cc-by-sa-3.0", "cc by", r"cc by sa 3 0", r"cc by sa 3 0"),
-    ("cc-by-sa-4.0", "cc by", r"cc by sa 4 0", r"cc by sa 4 0"),
-    ("cc-by-nd-4.0", "cc by", r"cc by nd 4 0", r"cc by nd 4 0"),
-    ("cc-by-nc-3.0", "cc by", r"cc by nc 3 0", r"cc by nc 3 0"),
-    ("cc-by-nc-4.0", "cc by", r"cc by nc 4 0", r"cc by nc 4 0"),
-    ("cc-by-nc-sa-4.0", "cc by", r"cc by nc sa 4 0", r"cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc by", r"cc by nc nd 4 0", r"cc by nc nd 4 0"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: license)?", r"cc by"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: license)?", r"cc by sa"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?(?: license)?", r"cc by nc"),
-    ("odbl-1.0", "database license", rf"open (?:data commons )?(?:open )?database license{V}(?: 1 0)?", r"odbl 1 0"),
-    ("ofl-1.1", "open font", rf"(?:sil )?open font license{V}(?: 1 1)?", r"ofl 1 1"),
-    ("openssl", "openssl", r"openssl license", r"openssl"),
-    ("upl-1.0", "universal permissive", rf"universal permissive license{V}(?: 1 0)?", r"upl 1 0"),
-    ("sspl-1.0", "server side", rf"server side public license{V}(?: 1)?", r"sspl 1 0"),
-    ("busl-1.1", "business source", rf"business source license{V}(?: 1 1)?", r"busl 1 1"),
-    ("elastic-2.0", "elastic", rf"elastic license{V}(?: 2 0)?", r"elastic 2 0"),
-)
-#: Templates: priority (0 first), keyword if not the name's, regex around the name or identifier, strength.
-TEMPLATES = (
-    (0, "spdx", "spdx license identifier {id}", 1.0),
-    (1, None, "(?:is |are |be )?(?:dual )?licensed under (?:the )?(?:terms of (?:the )?)?{name}", 0.95),
-    (1, None, "(?:is |are )?(?:re)?(?:released|distributed|published|made available|provided) under (?:the )?(?:terms of (?:the )?)?{name}", 0.9),
-    (2, None, "(?:subject to|under|governed by|according to) the terms (?:and conditions )?of (?:the )?{name}", 0.85),
-    (2, None, "license (?:is )?{name}", 0.8),
-    (3, None, "{name}", 0.6),
-)
-#: Words of templates outside of all groups; a rule runs only on texts that hold the first of these in its regex.
-FIXED = ("licensed under ", " under ", " the terms ", "license ")
-#: Rules that name no license of the table: priority, label, keyword, regex, strength.
-NOTICES = (
-    (4, "copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", 0.5),
-    (4, "all-rights-reserved", "rights reserved", r"all rights reserved", 0.5),
-    (4, "public-domain", "public domain", r"(?:dedicated to|released into|placed in|in) the public domain", 0.7),
-    (4, "proprietary", "proprietary", r"proprietary and confidential", 0.7),
-    (4, "no-warranty", "warrant", r"without warrant(?:y|ies) of any kind", 0.4),
-    (4, "no-warranty", "warrant", r"without any warranty", 0.4),
-    (4, "redistribution", "redistribut", r"redistribution and use in source and binary forms", 0.6),
-    (4, "permission-notice", "permission", r"permission is hereby granted free of charge", 0.6),
-    (4, "copyleft", "copyleft", r"copyleft", 0.4),
-    (5, "gnu-gpl", "general public", r"(?:gnu )?general public license", 0.5),
-    (5, "gnu-lgpl", "lesser general", r"(?:gnu )?lesser general public license", 0.5),
-    (5, "gnu-agpl", "affero", r"(?:gnu )?affero general public license", 0.5),
-    (5, "apache-unversioned", "apache", r"apache(?: software)? license", 0.5),
-    (5, "bsd-unversioned", "bsd", r"bsd license", 0.5),
-    (5, "creative-commons", "creative commons", r"creative commons(?: license)?", 0.4),
-)
-
-
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, regex, strength) of all rules: the names in every template, then the notices."""
-    made = []
-    for label, word, name, ident in NAMES:
-        for priority, keyword, around, strength in TEMPLATES:
-            made.append((priority, label, keyword or word, around.replace("{name}", name).replace("{id}", ident), strength))
-    return made + list(NOTICES)
-
-
-def gate() -> list[str]:
-    """Words of which every text that any rule matches holds one: GATE, and the keywords of rules whose regex can do without those."""
-    made = set()
-    for _, _, word, regex, _ in rules():
-        least = regex
-        while (shorter := re.sub(r"\(\?:[^()]*\)\?|[a-z]\?(?!:)", "", least)) != least:
-            least = shorter
-        if not any(g in least for g in GATE):
-            made.add(word)
-    return [*(word.split(" ")[0] for word in GATE), *sorted(word.split(" ")[0] for word in made)]
-
-
-def fixed(regex: str) -> str:
-    """The words of FIXED that every match of a rule's regex holds, or none."""
-    bare = regex
-    while (shorter := re.sub(r"\(\?:[^()]*\)\??", "|", bare)) != bare:
-        bare = shorter
-    return next((f for f in FIXED if f in bare), "")
+#: Words too common to gate a rule by if it has others.
+COMMON = frozenset("a all and any as by do for in is it may mit modify no of or that the this to under want what with without you have software source code version free file".split())
+
+_INTERVAL = "array<struct<first:int,n:int>>"
+_FOUND = "array<struct<first:int,end:int,priority:int,label:string,strength:double>>"
+#: What the suppression scan keeps is one bit a detection, so many to a number, so that its state stays small.
+WORD_BITS = 62
+
+
+def required(regex: str) -> list[str]:
+    """Beginnings of words that every match of a rule's regex holds: literals outside of all groups, from a word's start on."""
+    out, run, at_start, i = [], "", True, 0
+    literal = lambda c: c.isalnum() or not c.isascii()
+
+    def close() -> None:
+        nonlocal run
+        if run:
+            out.append(run)
+        run = ""
+
+    while i < len(regex):
+        c, optional = regex[i], regex[i + 1 : i + 2] == "?"
+        if literal(c):
+            if optional:
+                close()
+                at_start, i = False, i + 2
+            else:
+                if run or at_start:
+                    run += c
+                at_start, i = False, i + 1
+        elif c == " ":
+            close()
+            at_start, i = not optional, i + 1 + optional
+        elif c == "[":
+            close()
+            at_start, i = False, regex.index("]", i) + 1
+        elif c == "(":
+            close()
+            depth, j, ends, last = 0, i, [], ""
+            while True:
+                d = regex[j]
+                if d in "()":
+                    depth += 1 if d == "(" else -1
+                if depth == 0 or depth == 1 and d == "|":
+                    ends.append(last == " ")
+                if depth == 0:
+                    break
+                last, j = d, j + 1
+            optional = regex[j + 1 : j + 2] == "?"
+            at_start = all(ends) and (at_start or not optional)
+            i = j + 1 + optional
+        else:
+            raise ValueError(f"a rule can't hold {c!r}: {regex}")
+    close()
+    return out
+
+
+@functools.cache
+def rules() -> list[tuple[int, str, float, str, tuple[str, ...]]]:
+    """(priority, label, strength, regex, keywords) of all rules; of a rule's required words the two that tell most, the best first."""
+    chosen = []
+    for priority, label, strength, regex in parse():
+        words = sorted(dict.fromkeys(required(regex)), key=lambda w: (w in COMMON or len(w) < 2, -len(w)))
+        if not words:
+            raise ValueError(f"a rule must hold a word outside of groups: {regex}")
+        chosen.append((priority, label, strength, regex, words[:2]))
+    every = {w for *_, words in chosen for w in words}
+    # A keyword that begins another stands for both, so that one pass finds all.
+    shortest = {w: next(w[:k] for k in range(1, len(w) + 1) if w[:k] in every) for w in every}
+    return [(p, label, s, r, tuple(dict.fromkeys(shortest[w] for w in words))) for p, label, s, r, words in chosen]
+
+
+def _alternation(words: list[str]) -> str:
+    """A regex of any of the words, their common beginnings shared."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    parts = [c + (_alternation(rest) if all(rest) else "") for c, rest in sorted(by.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def gate() -> str:
+    """A regex found in every text, as it is, that any rule or base phrase matches: a word begins with some rule's first keyword."""
+    first = _alternation(sorted({words[0] for *_, words in rules()} | {"license" if "license" in phrase else phrase for _, phrase in BASE}))
+    return f"(?i)(?:^|{RAW_GAP}){first}"
+
+
+def count_words(text: Column) -> Column:
+    """Number of words of a text as it is; the pieces between gaps, without the empty ones at its two ends."""
+    ends = F.when(F.left(text, F.lit(1)).rlike(RAW_GAP), 1).otherwise(0) + F.when(F.right(text, F.lit(1)).rlike(RAW_GAP), 1).otherwise(0)
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, f"{RAW_GAP}+", -1)) - ends).cast("long")
 
 
 def words_of(text: Column) -> Column:
@@ -152,77 +123,103 @@ def words_of(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))
 
 
-def _blanks(s: Column) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+def keywords_of(words: Column) -> Column:
+    """The distinct keywords of the rules that begin a word."""
+    every = sorted({w for *_, words_ in rules() for w in words_})
+    return F.array_distinct(F.regexp_extract_all(words, F.lit(f" ({_alternation(every)})"), F.lit(1)))
 
 
 def places(words: Column, regex: Column) -> Column:
-    """array of struct(first, n): first word (from 0) and number of words of every match of regex in words_of()."""
-    whole = F.concat(F.lit(" (?:"), regex, F.lit(")(?= )"))
-    none = F.array().cast("array<struct<first:bigint,n:bigint>>")
+    """array of struct(first, n): first word (from 0) and number of words of every match of regex in words_of().
+
+    Matches are put between two control characters, which no word holds; the words that carry them are the matches' ends.
+    """
+    marked = F.regexp_replace(words, F.concat(F.lit(" ((?:"), regex, F.lit("))(?= )")), F.lit(" \x01$1\x02"))
+    none = F.array().cast(_INTERVAL)
 
-    def count(cut: Column) -> Column:
-        def add(s: Column, i: Column) -> Column:
-            first = s["at"] + F.get(cut["before"], i)
-            n = F.get(cut["n"], i)
-            one = F.struct(first.alias("first"), n.alias("n"))
-            return F.struct((first + n).alias("at"), F.concat(s["all"], F.array(one)).alias("all"))
+    def read(m: Column) -> Column:
+        split = F.transform(F.split(F.substr(m, F.lit(2)), " "), lambda w, i: F.when(F.startswith(w, F.lit("\x01")) | F.endswith(w, F.lit("\x02")), F.struct(i.alias("i"), w.alias("w"))))
+        return F.get(F.transform(F.array(F.array_compact(split)), pair), F.lit(0))
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("all"))
-        return F.when(F.size(cut["n"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(cut["n"]) - 1), start, add)["all"]).otherwise(none)
+    def pair(ends: Column) -> Column:
+        first = F.transform(F.filter(ends, lambda e: F.startswith(e["w"], F.lit("\x01"))), lambda e: e["i"])
+        last = F.transform(F.filter(ends, lambda e: F.endswith(e["w"], F.lit("\x02"))), lambda e: e["i"])
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n")))
 
-    blanks = lambda parts: F.transform(parts, lambda x: _blanks(x).cast("long"))
-    # The text is cut once, not at every match.
-    cut = F.struct(blanks(F.regexp_extract_all(words, whole, F.lit(0))).alias("n"), blanks(F.split(words, whole, -1)).alias("before"))
-    return F.get(F.transform(F.array(cut), count), F.lit(0))
+    return F.get(F.transform(F.array(marked), lambda m: F.when(F.contains(m, F.lit("\x01")), read(m)).otherwise(none)), F.lit(0))
 
 
-def detections(words: Column) -> Column:
-    """array of struct(priority, label, strength, first, n) of all rules' matches, in rule order."""
-    literal = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(word).alias("word"), F.lit(fixed(regex)).alias("fixed"), F.lit(regex).alias("regex"), F.lit(float(s)).alias("strength")) for p, label, word, regex, s in rules()])
-    fired = F.filter(literal, lambda r: F.contains(words, r["word"]) & F.contains(words, r["fixed"]))
+def detections(words: Column, keywords: Column) -> Column:
+    """array of struct(first, end, priority, label, strength) of all rules' matches."""
+    literal = F.array(
+        *[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(float(s)).alias("strength"), F.lit(regex).alias("regex"), F.array(*map(F.lit, need)).alias("need")) for p, label, s, regex, need in rules()]
+    )
 
     def run(r: Column) -> Column:
-        return F.transform(places(words, r["regex"]), lambda m: F.struct(r["priority"].alias("priority"), r["label"].alias("label"), r["strength"].alias("strength"), m["first"].alias("first"), m["n"].alias("n")))
+        one = lambda m: F.struct(m["first"].alias("first"), (m["first"] + m["n"]).alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["strength"].alias("strength"))
+        return F.transform(places(words, r["regex"]), one)
 
-    return F.flatten(F.transform(fired, run))
+    # Bound to a variable first: the optimizer would compute an inlined expression again for every rule.
+    fired = lambda held: F.filter(literal, lambda r: F.size(F.array_except(r["need"], held)) == 0)
+    return F.flatten(F.get(F.transform(F.array(keywords), lambda held: F.transform(fired(held), run)), F.lit(0)))
 
 
 def unsuppressed(found: Column) -> Column:
-    """Detections not inside another's interval of higher priority, or of equal priority and more words."""
+    """Detections not inside another's interval of higher priority, or of equal priority and more words; in order of their places.
 
-    def inside(a: Column) -> Column:
-        return F.exists(
-            found,
-            lambda b: (b["first"] <= a["first"]) & (a["first"] + a["n"] <= b["first"] + b["n"]) & ((b["priority"] < a["priority"]) | ((b["priority"] == a["priority"]) & (b["n"] > a["n"]))),
+    Sorted by first word, longer ones first, then priority, whatever holds a detection comes before it. So for each priority the
+    farthest end so far (and the first word of the earliest interval that reaches it) decides.
+    """
+    key = lambda d: F.struct(d["first"].alias("first"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["label"].alias("label"), d["strength"].alias("strength"))
+    back = lambda k: F.struct(k["first"].alias("first"), (-k["back"]).alias("end"), k["priority"].alias("priority"), k["label"].alias("label"), k["strength"].alias("strength"))
+    far = F.array(*[F.struct(F.lit(-1).alias("end"), F.lit(-1).alias("first")) for _ in range(1 + max(p for p, *_ in rules()))])
+    zero = F.lit(0).cast("long")
+    start = F.struct(far.alias("far"), zero.alias("bits"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("words"))
+
+    def step(s: Column, d: Column) -> Column:
+        own = F.get(s["far"], d["priority"])
+        higher = F.exists(F.slice(s["far"], F.lit(1), d["priority"]), lambda f: f["end"] >= d["end"])
+        longer = (own["end"] > d["end"]) | ((own["end"] == d["end"]) & (own["first"] < d["first"]))
+        reach = F.transform(s["far"], lambda f, i: F.when(i == d["priority"], F.struct(d["end"].alias("end"), d["first"].alias("first"))).otherwise(f))
+        bits = F.when(higher | longer, s["bits"]).otherwise(s["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s["n"])))
+        full = s["n"] == WORD_BITS - 1
+        return F.struct(
+            F.when(d["end"] > own["end"], reach).otherwise(s["far"]).alias("far"),
+            F.when(full, zero).otherwise(bits).alias("bits"),
+            F.when(full, F.lit(0)).otherwise(s["n"] + 1).alias("n"),
+            F.when(full, F.concat(s["words"], F.array(bits))).otherwise(s["words"]).alias("words"),
         )
 
-    return F.filter(found, lambda a: ~inside(a))
+    def kept(ordered: Column) -> Column:
+        bits = F.aggregate(ordered, start, step, lambda s: F.concat(s["words"], F.array(s["bits"])))
+        held = lambda words: F.filter(ordered, lambda d, i: F.getbit(F.get(words, F.floor(i / WORD_BITS).cast("int")), i % WORD_BITS) == 1)
+        return F.get(F.transform(F.array(bits), held), F.lit(0))
+
+    in_order = F.transform(F.array_sort(F.transform(found, key)), back)
+    return F.when(F.size(found) < 2, found).otherwise(F.get(F.transform(F.array(in_order), kept), F.lit(0)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Scan whole texts of docs (doc_id, text). Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and found
-    (array of the unsuppressed detections: priority, label, strength, first, n).
+    (array of the unsuppressed detections: first and end word, priority, label, strength).
 
     n_base counts the places of the base phrases; first_word and last_word are the least and largest word number at which one starts, null
     if none. labels holds the base labels and those of the unsuppressed detections, distinct, sorted, comma-joined; score is the largest
     strength among these, 0.5 for a base label alone, 0 for none. A null text counts as empty: no words, empty label strings. Rows
-    repeating a doc_id are scanned each; other columns are ignored. No shuffle, no Python.
+    repeating a doc_id are scanned each; other columns are ignored; an empty table gives no rows. Texts may have any length that a string
+    holds. No shuffle, no Python.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
-    gated = F.lit(False)
-    for word in gate():
-        gated = gated | low.contains(word)
-    none = F.array().cast("array<struct<first:bigint,n:bigint>>")
-    one = docs.select("doc_id", F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(gated, words_of(text)).alias("w"))
+    none = F.array().cast(_INTERVAL)
+    one = docs.select("doc_id", count_words(text).alias("n_words"), F.when(text.rlike(gate()), words_of(text)).alias("w"))
+    one = one.withColumn("keywords", F.when(F.col("w").isNotNull(), keywords_of(F.col("w"))))
     base = [F.when(F.contains("w", F.lit(f" {phrase} ")), places(F.col("w"), F.lit(phrase))).otherwise(none).alias(f"b{i}") for i, (_, phrase) in enumerate(BASE)]
-    empty = F.array().cast("array<struct<priority:int,label:string,strength:double,first:bigint,n:bigint>>")
-    one = one.select("doc_id", "n_words", *base, F.when(F.col("w").isNotNull(), detections(F.col("w"))).otherwise(empty).alias("all"))
+    empty = F.array().cast(_FOUND)
+    one = one.select("doc_id", "n_words", *base, F.when(F.col("w").isNotNull(), detections(F.col("w"), F.col("keywords"))).otherwise(empty).alias("all"))
     one = one.withColumn("found", F.when(F.size("all") > 0, unsuppressed(F.col("all"))).otherwise(empty)).withColumn("base", F.flatten(F.array("b0", "b1", "b2")))
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"b{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(BASE)]))
     all_labels = F.array_sort(F.array_union(base_labels, F.transform("found", lambda d: d["label"])))
-    starts = F.transform("base", lambda m: m["first"])
+    starts = F.transform("base", lambda m: m["first"].cast("long"))
     score = F.greatest(F.coalesce(F.array_max(F.transform("found", lambda d: d["strength"])), F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0))
     return one.select(
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
