@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import language_id, mixing, near_dedup, packing, pii
+from loomgraph.llm.common import free_names
 from loomgraph.llm.queries import PII_KEY
 from loomgraph.storage import materialize
 
@@ -26,7 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonymize_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts give way to format-preserving pseudonyms; n_chars follows."""
-    out = pii.pseudonymize(docs, key=PII_KEY, found_col="__pii_kinds").drop("__pii_kinds")
+    (kinds,) = free_names(docs.columns, "pii_kinds")
+    out = pii.pseudonymize(docs, key=PII_KEY, found_col=kinds).drop(kinds)
     changed = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     return out.withColumn("n_chars", changed).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
 
