@@ -88,12 +88,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes hashed at a time; only memory depends on it.
+HASH_BLOCK = 1 << 22
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every byte span raw[start:end], by differences of one running polynomial sum."""
-    pow_, inv = _pow_table(len(raw))
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[raw] * pow_[: len(raw)], out=run[1:])
-    return mix64((run[ends] - run[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of every byte span raw[start:end] (spans ascending, disjoint), by differences of one running polynomial sum."""
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + HASH_BLOCK, "right")))
+        stop = int(ends[hi - 1])
+        if stop - base <= HASH_BLOCK:
+            pow_, inv = _pow_table(stop - base)
+            run = np.zeros(stop - base + 1, np.uint64)
+            np.cumsum(_BYTE_CODE[raw[base:stop]] * pow_[: stop - base], out=run[1:])
+            out[lo:hi] = (run[ends[lo:hi] - base] - run[starts[lo:hi] - base]) * inv[starts[lo:hi] - base]
+        else:  # one span longer than a block
+            pow_, _ = _pow_table(HASH_BLOCK)
+            for at in range(base, stop, HASH_BLOCK):
+                part = _BYTE_CODE[raw[at : min(stop, at + HASH_BLOCK)]]
+                shift = np.full(1, pow(int(_BASE), at - base, 2**64), np.uint64)
+                out[lo : lo + 1] += (part * pow_[: len(part)]).sum(keepdims=True, dtype=np.uint64) * shift
+        lo = hi
+    return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 #: ASCII white space of the word contracts: 0x20 and 0x09 to 0x0D.

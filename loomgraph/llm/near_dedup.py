@@ -10,8 +10,11 @@
    task, never all pairs. Very large buckets, and those cut by a partition's edge, are tied together whole instead; that
    proposes more, it drops nothing. Components of these proposals hold every link that any bucket has seen.
 4. Inside each such component the full shingle sets are compared exactly: small components at once; large ones first in
-   hashed chunks, each with a hub text, then chunk by chunk wherever two chunks are not yet known to be connected. Each
-   chunk pair is a bounded task that returns a spanning forest of its true links.
+   hashed chunks (bounded in documents and in shingles), each with a hub text. That joins nearly all of a family of copies. Where parts
+   are left unjoined, a link between two of them needs a shingle that both texts hold among their rarest ones (the prefix filter,
+   with the component's own shingle counts and the least size that a partner can have); texts without such a shingle are
+   done, the others are grouped by these shingles and compared, small groups at once, large ones chunk by chunk wherever two chunks are not
+   yet known to be connected. Each task is bounded and returns a spanning forest of its true links. No link is lost in this step.
 5. Components of the true links are the answer.
 
 The chance that a pair of similarity J shares no band is (1 - J^rows)^bands: at a threshold of 0.80 (5 rows, 28 bands) 1.5e-5 for a
@@ -28,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER, forest, groups, mix64, slices_by_bytes, span_hashes, text_buffer, word_spans
+from pyspark.sql.types import LongType, StructField, StructType
+
+from loomgraph.llm.common import LOWER, forest, free_names, groups, mix64, slices_by_bytes, span_hashes, text_buffer, word_spans
 from loomgraph.operators.components import connected_components
 from loomgraph.storage import materialize
 
@@ -41,8 +46,9 @@ SKETCH_BITS = 256
 MARGIN = 4.5
 #: Buckets above this many classes are tied together whole rather than compared by sketch.
 BUCKET = 2048
-#: Documents of a chunk in the exact check.
+#: Texts of a chunk in the exact check, and the shingles that these hold together (one text may exceed that alone).
 CHUNK = 128
+CHUNK_SHINGLES = 2_000_000
 
 _R = np.random.Generator(np.random.PCG64(77))
 _A = _R.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,16 +132,15 @@ def _sketch_rows(percent: int):
                 sets = shingle_sets(raw[a:b], offsets[lo : hi + 1] - a)
                 n = np.array([len(s) for s in sets], np.int64)
                 samples = np.stack([min_samples(s) for s in sets])
-                once = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-                twice = np.array([mix64(s * _M[50]).sum(dtype=np.uint64) for s in sets], np.uint64)
+                once, twice = digests(sets)
                 keys = band_keys(samples, percent).view(np.int64)
                 bits = odd_sketches(samples)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
                         pa.array(n),
-                        pa.array(once.view(np.int64)),
-                        pa.array(twice.view(np.int64)),
+                        pa.array(once),
+                        pa.array(twice),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel())),
                         pa.array([x.tobytes() for x in bits], pa.binary()),
                     ],
@@ -249,87 +254,195 @@ def _exact_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return np.nonzero(hit)
 
 
+def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set of shingles, in two columns."""
+    once = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+    twice = np.array([mix64(s * _M[50]).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return once.view(np.int64), twice.view(np.int64)
+
+
 def _confirm(percent: int):
     def run(batches):
         for table in groups(batches, "task"):
-            ids = table.column("doc_id").to_numpy()
-            _, where = np.unique(ids, return_index=True)
-            table, ids = table.take(pa.array(where)), ids[where]
+            nodes, set1 = table.column("node").to_numpy(), table.column("set1").to_numpy()
             sets = shingle_sets(*text_buffer(table.column("text")))
-            kept = forest(len(ids), *_exact_pairs(sets, percent))
-            yield pa.RecordBatch.from_arrays([pa.array([int(ids[x]) for x, _ in kept], pa.int64()), pa.array([int(ids[y]) for _, y in kept], pa.int64())], names=["a", "b"])
+            # A doc_id that repeats brings texts of other sets along; a hub may come twice.
+            own = np.flatnonzero(digests(sets)[0] == set1)
+            own = own[np.unique(nodes[own], return_index=True)[1]]
+            nodes, sets = nodes[own], [sets[i] for i in own]
+            kept = forest(len(nodes), *_exact_pairs(sets, percent))
+            yield pa.RecordBatch.from_arrays([pa.array([int(nodes[x]) for x, _ in kept], pa.int64()), pa.array([int(nodes[y]) for _, y in kept], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def confirm(tasks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """True links (a spanning forest for each task) among the documents of each task; tasks: (task, doc_id)."""
-    dealt = tasks.join(texts, "doc_id").select("task", "doc_id", "text").repartition("task").sortWithinPartitions("task")
+    """True links (a spanning forest for each task) among the texts of each task; tasks: (task, node); texts: (node, set1, text)."""
+    dealt = tasks.join(texts, "node").select("task", "node", "set1", "text").repartition("task").sortWithinPartitions("task")
     return materialize(dealt.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
-def _chunks(n) -> F.Column:
-    return F.ceil(n / CHUNK).cast("long")
+def _chunks(texts, shingles) -> F.Column:
+    return F.greatest(F.ceil(texts / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("long")
+
+
+def _shingle_rows(batches):
+    """One row a shingle of every text: group, part, node, n (size of its set), s."""
+    for batch in batches:
+        node, group, part, set1 = (batch.column(i).to_numpy() for i in range(4))
+        raw, offsets = text_buffer(batch.column(4))
+        for lo, hi in slices_by_bytes(offsets, 2_000_000):
+            a, b = offsets[lo], offsets[hi]
+            sets = shingle_sets(raw[a:b], offsets[lo : hi + 1] - a)
+            right = digests(sets)[0] == set1[lo:hi]
+            n = np.array([len(s) if r else 0 for s, r in zip(sets, right)], np.int64)
+            rows = np.repeat(np.arange(lo, hi), n)
+            every = np.concatenate([s for s, r in zip(sets, right) if r] or [np.zeros(0, np.uint64)])
+            for k in range(0, len(rows), 1_000_000):
+                at = rows[k : k + 1_000_000]
+                cols = [group[at], part[at], node[at], n[at - lo], every[k : k + 1_000_000].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["near", "part", "node", "n", "s"])
+
+
+def cross_groups(large: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Texts of large (node, near, part, n_shingles) that may be linked with a text of another part, and the groups in which: (node, group).
+
+    Shingles of a component are ordered by the number of its texts that hold them, rarest first. Of two texts with n and m shingles and
+    100 * intersection >= percent * union, the intersection has at least need(n, m) = percent * (n + m) / (100 + percent) shingles, so the first
+    n - need + 1 of the one and m - need + 1 of the other share a shingle; m is at least percent * n / 100 and the component's least size.
+    """
+    rows = large.join(texts, "node").select("node", "near", "part", "set1", "text").mapInArrow(_shingle_rows, "near long, part long, node long, n long, s long")
+    rows = materialize(rows, "shingles")
+    held = materialize(rows.groupBy("near", "s").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")), "held")
+    least = materialize(large.groupBy("near").agg(F.min("n_shingles").alias("least")), "least")
+    order = Window.partitionBy("node").orderBy("df", "s")
+    ranked = rows.join(held, ["near", "s"]).withColumn("rank", F.row_number().over(order)).join(least, "near")
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    need = F.ceil((F.col("n") + partner) * percent / (100 + percent))
+    first = materialize(ranked.where((F.col("rank") <= F.col("n") - need + 1) & (F.col("lo") != F.col("hi"))).select("near", "s", "node", "part"), "prefixes")
+    shared = first.groupBy("near", "s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
+    edges = first.join(materialize(shared.select("near", "s", "hub"), "shared"), ["near", "s"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return connected_components(edges).select("node", F.col("component").alias("group"))
+
+
+def links_of(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes whose components are those of all true links; classes: node, least (a doc_id that has it), set1, n_shingles, bands, sketch."""
+    near = connected_components(proposals(classes.withColumnRenamed("node", "doc_id"), percent)).select("node", F.col("component").alias("near"))
+    near = materialize(near.join(classes.select("node", "least", "set1", "n_shingles"), "node"), "near")
+    # Sizes are written first: a join straight onto an aggregate would gather a hot component's rows by its key in one task, while
+    # a join of two tables can be split or broadcast at run time.
+    size = materialize(near.groupBy("near").agg(_chunks(F.count("*"), F.sum("n_shingles")).alias("chunks")), "sizes")
+    near = materialize(near.join(size, "near"), "near")
+    texts = materialize(docs.select(F.col("doc_id").alias("least"), "text").join(near.select("least", "node", "set1"), "least").drop("least"), "texts")
+    h = F.xxhash64("node")
+    first = near.select("node", "near", "chunks", F.xxhash64("near", F.pmod(h, F.col("chunks"))).alias("task"))
+    hubs = first.where("chunks > 1").select(F.col("near").alias("node"), "task").distinct()
+    links = confirm(first.select("task", "node").union(hubs.select("task", "node")).distinct(), texts, percent)
+    large = near.where("chunks > 1")
+    if large.isEmpty():
+        return links
+    part = connected_components(links)
+    large = large.join(part, "node", "left").select("node", "near", "n_shingles", F.coalesce("component", "node").alias("part"))
+    large = materialize(large, "parts")
+    open_ = materialize(large.groupBy("near").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("near"), "open")
+    large = materialize(large.join(open_, "near"), "parts")
+    if large.isEmpty():
+        return links
+    large = materialize(large.join(cross_groups(large, texts, percent), "node").select("node", "group", "part", "n_shingles"), "groups")
+    if large.isEmpty():
+        return links
+    size = materialize(large.groupBy("group", "part").agg(F.count("*").alias("k")), "sizes")
+    large = large.join(size, ["group", "part"]).withColumn("pure", F.when(F.col("k") >= CHUNK // 2, F.col("part")))
+    pool = large.groupBy(F.col("group").alias("group2"), F.col("pure").alias("pure2")).agg(_chunks(F.count("*"), F.sum("n_shingles")).alias("chunks"))
+    pool = materialize(pool, "sizes")
+    large = large.join(pool, (F.col("group") == F.col("group2")) & F.col("pure").eqNullSafe(F.col("pure2")))
+    large = materialize(large.select("node", "group", "pure", F.xxhash64("group", F.coalesce("pure", F.lit(-1)), F.pmod(h, F.col("chunks"))).alias("chunk")), "chunks")
+    one = large.select("group", "chunk", "pure").distinct()
+    other = one.select("group", F.col("chunk").alias("chunk_b"), F.col("pure").alias("pure_b"))
+    pairs = one.join(other, "group").where("chunk <= chunk_b and not (pure is not null and pure_b is not null and pure = pure_b)")
+    pairs = pairs.select("chunk", "chunk_b", F.xxhash64("group", "chunk", "chunk_b").alias("task"))
+    tasks = pairs.select("task", "chunk").union(pairs.select("task", F.col("chunk_b").alias("chunk"))).distinct()
+    return links.union(confirm(tasks.join(large.select("chunk", "node"), "chunk").select("task", "node"), texts, percent))
+
+
+def _roots(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): the smallest doc_id in the node's component."""
+    comp = classes.select("node", "least").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    comp = materialize(comp, "named")
+    least = materialize(comp.groupBy("component").agg(F.min("least").alias("root")), "roots")
+    return comp.join(least, "component").select("node", "root")
+
+
+def _solve(docs: DataFrame, percent: int):
+    """Rows (doc_id, n_shingles, set1, set2, node), classes, links between them, and the doc_ids of more than one row (None if there are none)."""
+    all_ = materialize(sketches(docs, percent), "sketches")
+    live = all_.where("n_shingles > 0 and doc_id is not null")
+    classes = live.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # a number of its own, fixed once written
+    links = materialize(links_of(classes, docs, percent), "links")
+    rows = all_.select("doc_id", "n_shingles", "set1", "set2").join(classes.select("set1", "set2", "n_shingles", "node"), ["set1", "set2", "n_shingles"], "left")
+    twice = materialize(all_.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"), "repeated")
+    return rows, classes, links, None if twice.isEmpty() else twice
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * |A & B| >= percent * |A | B| over sets of 5-word shingles.
 
     docs needs doc_id (long) and text; other columns are ignored, whatever their names. Returns one row per input row:
-    doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable over links), kept (doc_id =
+    doc_id, n_shingles (size of its row's set), component_id (smallest doc_id reachable over links), kept (doc_id =
     component_id). Null, empty or white-space texts have an empty set and are linked with nothing. With fewer than five words the
-    whole sequence is the one shingle. Rows repeating a doc_id are one node. A null doc_id takes no part: component_id is
-    null and kept is true. Equal texts have equal components; an empty table gives an empty result.
+    whole sequence is the one shingle. Rows repeating a doc_id are one node, which has the links of all its texts. A null doc_id takes no
+    part: component_id is null and kept is true. Equal texts have equal components; an empty table gives an empty result. A text of any length
+    is read whole; a task holds one chunk (CHUNK texts, CHUNK_SHINGLES shingles) or the one text that exceeds it.
     """
-    all_ = materialize(sketches(docs, percent), "sketches")
-    live = all_.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    near = connected_components(proposals(classes, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("near"))
-    # Counts are written first: a join straight onto an aggregate would gather a hot component's rows by its key in one task, while
-    # a join of two tables can be split or broadcast at run time.
-    near = materialize(near.join(materialize(near.groupBy("near").agg(F.count("*").alias("m")), "sizes"), "near"), "near")
-    texts = materialize(docs.select("doc_id", "text").join(near.select("doc_id"), "doc_id"), "texts")
-    h = F.xxhash64("doc_id")
-    chunk = F.pmod(h, _chunks(F.col("m")))
-    first = near.select("doc_id", "near", "m", F.xxhash64("near", chunk).alias("task"))
-    hubs = first.where(F.col("m") > CHUNK).select("near", "task").distinct().select(F.col("near").alias("doc_id"), "task")
-    links = confirm(first.select("task", "doc_id").union(hubs.select("task", "doc_id")).distinct(), texts, percent)
-    large = near.where(F.col("m") > CHUNK)
-    if not large.isEmpty():
-        part = connected_components(links)
-        large = large.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "near", F.coalesce("component", "doc_id").alias("part"))
-        large = materialize(large, "parts")
-        size = materialize(large.groupBy("near", "part").agg(F.count("*").alias("k")), "sizes")
-        large = large.join(size, ["near", "part"]).withColumn("pure", F.when(F.col("k") >= CHUNK // 2, F.col("part")))
-        pool = large.groupBy("near", "pure").agg(F.count("*").alias("p")).withColumnRenamed("near", "near2").withColumnRenamed("pure", "pure2")
-        pool = materialize(pool, "sizes")
-        large = large.join(pool, (F.col("near") == F.col("near2")) & F.col("pure").eqNullSafe(F.col("pure2")))
-        large = materialize(large.select("doc_id", "near", "pure", F.xxhash64("near", F.coalesce("pure", F.lit(-1)), F.pmod(h, _chunks(F.col("p")))).alias("chunk")), "chunks")
-        one = large.select("near", "chunk", "pure").distinct()
-        other = one.select("near", F.col("chunk").alias("chunk_b"), F.col("pure").alias("pure_b"))
-        open_ = one.join(other, "near").where("chunk <= chunk_b and not (pure is not null and pure_b is not null and pure = pure_b)")
-        open_ = open_.select("chunk", "chunk_b", F.xxhash64("near", "chunk", "chunk_b").alias("task"))
-        pairs = open_.select("task", "chunk").union(open_.select("task", F.col("chunk_b").alias("chunk"))).distinct()
-        more = confirm(pairs.join(large.select("chunk", "doc_id"), "chunk").select("task", "doc_id"), texts, percent)
-        links = links.union(more)
-    final = connected_components(links)
-    named = classes.select("set1", "set2", "n_shingles", F.col("doc_id").alias("class_id"))
-    out = all_.join(named, ["set1", "set2", "n_shingles"], "left").join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("class_id")), "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    rows, classes, links, twice = _solve(docs, percent)
+    if twice is not None:
+        ties = materialize(rows.where("node is not null").join(twice, "doc_id").select("doc_id", "node").distinct(), "ties")
+        hub = materialize(ties.groupBy("doc_id").agg(F.min("node").alias("b")), "hubs")
+        links = links.union(ties.withColumnRenamed("node", "a").join(hub, "doc_id").where("a <> b").select("a", "b"))
+    out = rows.join(_roots(classes, links), "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
+    if twice is not None:  # a row without words under a doc_id that has others: the node's component
+        out = materialize(out, "rows")
+        whole = materialize(out.join(twice, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("least")), "whole")
+        out = out.join(whole, "doc_id", "left").withColumn("component_id", F.coalesce("least", "component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _digest_rows(text_at: int):
+    def run(batches):
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(text_at))
+            for lo, hi in slices_by_bytes(offsets, 4_000_000):
+                sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                part = batch.slice(lo, hi - lo)
+                extra = [*map(pa.array, digests(sets)), pa.array([len(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[str(i) for i in range(len(part.columns) + 3)])
+
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, without those that near_duplicates() does not keep.
+    """The rows of docs, with all their columns, one of each group of near-duplicates: the row of its smallest doc_id.
 
-    One row of each group stays, that of the smallest doc_id; of rows repeating that doc_id the one of the smallest text. Rows of null doc_id stay.
+    Groups are those of near_duplicates(), but for a doc_id that repeats: its rows are judged each by its own text, so that unlike texts under
+    one number stay; of a group's rows under its smallest doc_id the one of the smallest text stays. Rows of null doc_id
+    and rows without words stay.
     """
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
-    if repeated.isEmpty():
-        return left
-    first = Window.partitionBy("doc_id").orderBy("text")
-    ranked = left.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.row_number().over(first)).otherwise(1))
-    return ranked.where("__row = 1").drop("__row")
+    rows, classes, links, twice = _solve(docs, percent)
+    roots = _roots(classes, links)
+    gone = rows.join(roots, "node").where("doc_id <> root").select("doc_id")
+    if twice is None:
+        return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(gone.join(twice, "doc_id", "left_anti").union(twice), "doc_id", "left_anti").select(*docs.columns)
+    many = docs.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    set1, set2, n, whole = free_names(docs.columns, "set1", "set2", "n_shingles", "whole")
+    schema = many.schema
+    for c in (set1, set2, n):
+        schema = StructType([*schema, StructField(c, LongType())])
+    many = many.mapInArrow(_digest_rows(docs.columns.index("text")), schema)
+    named = classes.join(roots, "node").where("root is not null").select(F.col("set1").alias(set1), F.col("set2").alias(set2), F.col("n_shingles").alias(n), F.col("root").alias(whole))
+    many = many.join(named, [set1, set2, n], "left")
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # The least row by a partial aggregate, so that a number which a third of all rows repeat is no hot task.
+    own = many.where(F.col(whole) == F.col("doc_id")).groupBy(F.col(whole).alias("root")).agg(F.min_by(every, F.struct("text", F.xxhash64(F.to_json(every)))).alias("row")).select("row.*")
+    return once.unionByName(own).unionByName(many.where(F.col(whole).isNull()).select(*docs.columns))

@@ -78,3 +78,49 @@ def test_drop_keeps_one_of_each(docs, no_docs, rows):
     got = [r.doc_id for r in left.collect()]
     assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
     assert N.near_duplicates(no_docs).collect() == [] and N.drop_near_duplicates(no_docs).collect() == []
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    """Rows under one number are one node; dropping judges each row by its own text."""
+    a, b, c = ("one two three four five six seven eight", "other words stand here in another order now", "a third text of its own that is like none")
+    rows = [(5, a), (5, b), (3, a), (7, b), (9, c), (9, c), (9, None), (11, ""), (11, b)]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, n_shingles int, root string").repartition(4)
+    got = {(r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df, 85).collect()}
+    assert got == {(5, 3, False), (3, 3, True), (7, 3, False), (11, 3, False), (9, 9, True)}
+    left = sorted((r.doc_id, r.text or "") for r in N.drop_near_duplicates(df, 85).collect())
+    assert left == sorted([(3, a), (5, b), (9, c), (9, ""), (11, "")])
+    assert N.drop_near_duplicates(df, 85).columns == df.columns
+
+
+def test_family_of_parts(spark, monkeypatch):
+    """Unjoined parts of a large family: the prefix filter finds the links between them."""
+    monkeypatch.setattr(N, "CHUNK", 8)
+    monkeypatch.setattr(N, "BUCKET", 16)
+    monkeypatch.setattr(N, "CHUNK_SHINGLES", 3000)
+    rng = random.Random(11)
+    for words, percent in ((40, 80), (90, 85), (200, 90)):
+        rows = []
+        bases = [[f"w{rng.randrange(10**6)}" for _ in range(words)] for _ in range(3)]
+        for i in range(120):
+            w = list(rng.choice(bases))
+            if rng.random() < 0.3:
+                w = w[: words // 2] + bases[0][words // 2 :]
+            for _ in range(rng.choice([0, 0, 1, 2, 3, words // 25])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+            if rng.random() < 0.2:
+                w += bases[1][: rng.randint(1, words // 8)]
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, percent).collect()} == brute(rows, percent)
+
+
+def test_long_words_hash_alike_in_blocks(monkeypatch):
+    from loomgraph.llm import common
+
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 123, 5000, dtype=np.uint8)
+    starts = np.array([0, 10, 40, 900, 3000, 4990])
+    ends = np.array([9, 40, 41, 3000, 4980, 5000])
+    whole = common.span_hashes(raw, starts, ends)
+    monkeypatch.setattr(common, "HASH_BLOCK", 64)
+    assert (common.span_hashes(raw, starts, ends) == whole).all()
