@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.storage import materialize
+
 
 class PatternError(ValueError):
     """A query outside the supported subset, or a pattern that would need a cross product."""
@@ -19,17 +21,23 @@ class PatternError(ValueError):
 
 @dataclass
 class GraphView:
-    """Label -> node table (with its key column), type -> edge table (with its source and target columns)."""
+    """Label -> node table (with its key column), type -> edge table (with its source and target columns).
+
+    An edge is told from others of its type by the columns in `key`; without one by all its columns, so that edges equal in all count as one
+    where a pattern must not use an edge twice.
+    """
 
     nodes: dict[str, tuple[DataFrame, str]] = field(default_factory=dict)
     edges: dict[str, tuple[DataFrame, str, str]] = field(default_factory=dict)
+    keys: dict[str, list[str]] = field(default_factory=dict)
 
     def node(self, label: str, df: DataFrame, key: str) -> "GraphView":
         self.nodes[label] = (df, key)
         return self
 
-    def edge(self, kind: str, df: DataFrame, src: str, dst: str) -> "GraphView":
+    def edge(self, kind: str, df: DataFrame, src: str, dst: str, key: list[str] | None = None) -> "GraphView":
         self.edges[kind] = (df, src, dst)
+        self.keys[kind] = key or df.columns
         return self
 
 
@@ -67,7 +75,23 @@ def join_relations(relations: list[Relation]) -> DataFrame:
 
 
 _NODE = re.compile(r"\(\s*(\w*)\s*(?::\s*(\w+))?\s*(\{[^}]*\})?\s*\)")
-_REL = re.compile(r"(<)?-\[\s*(\w*)\s*:\s*(\w+)\s*(?:\*(\d+)?\.\.(\d+))?\s*(\{[^}]*\})?\s*\]-(>)?")
+_REL = re.compile(r"(<)?-\[\s*(\w*)\s*:\s*(\w+)\s*(\*\s*(\d+)?\s*(\.\.)?\s*(\d+)?)?\s*(\{[^}]*\})?\s*\]-(>)?")
+#: Hops that a pattern without an upper bound may take before it is refused.
+MAX_HOPS = 64
+
+
+def _sql_literal(value) -> str:
+    """A parameter's value as a Spark SQL literal; strings are quoted, whatever they hold."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (int, float)):
+        return repr(value) if value == value and abs(value) != float("inf") else f"double('{value}')"
+    if isinstance(value, (list, tuple)):
+        return f"({', '.join(map(_sql_literal, value))})"
+    kind = {"datetime": "TIMESTAMP", "date": "DATE"}.get(type(value).__name__, "")
+    return kind + "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _props(text: str | None) -> dict[str, str]:
@@ -75,7 +99,11 @@ def _props(text: str | None) -> dict[str, str]:
 
 
 class CypherCompiler:
-    """MATCH (patterns) [WHERE EXISTS {..}] [WHERE ..] RETURN [DISTINCT] .. [ORDER BY ..] [LIMIT n], UNION, WITH/LET/FILTER/NEXT chains."""
+    """MATCH (patterns) [WHERE EXISTS {..}] [WHERE ..] RETURN [DISTINCT] .. [ORDER BY ..] [LIMIT n], UNION, WITH/LET/FILTER/NEXT chains.
+
+    -[:R]-> and <-[:R]- have a direction, -[:R]- has none. *, *2, *2.., *..3 and *2..3 are trails. There is a row for each way to match, so
+    parallel edges and several paths count each, and no relationship is bound twice within one MATCH.
+    """
 
     def __init__(self, graph: GraphView, params: dict | None = None):
         self.graph, self.params, self.fresh = graph, params or {}, 0
@@ -99,28 +127,45 @@ class CypherCompiler:
             df = df.where(F.col(k) == F.lit(self._literal(v)))
         return Relation(df.select(F.col(key).alias(f"{var}."), *[F.col(c).alias(f"{var}.{c}") for c in df.columns]), [var])
 
-    def _edge_relation(self, var: str, kind: str, a: str, b: str, low: int, high: int, props: dict) -> Relation:
+    def _edge_relation(self, var: str, kind: str, a: str, b: str, hops: tuple[int, int | None] | None, props: dict, both: bool, mark: str | None) -> Relation:
+        """Edges from a to b (either way if both), or trails of hops[0] to hops[1] of them; mark: a column for the edges used."""
+        if kind not in self.graph.edges:
+            raise PatternError(f"no edge table for type {kind}")
         df, src, dst = self.graph.edges[kind]
         for k, v in props.items():
             df = df.where(F.col(k) == F.lit(self._literal(v)))
-        one = df.select(F.col(src).alias(f"{a}."), F.col(dst).alias(f"{b}."), *([F.col(c).alias(f"{var}.{c}") for c in df.columns] if (low, high) == (1, 1) else []))
-        if (low, high) == (1, 1):
-            return Relation(one, [a, b])
-        # Trails of bounded length: a union of joins; an edge is used at most once, as told by its (source, target) pair.
-        e = df.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
-        level = e.select("s", F.col("d").alias("at"), F.array(F.struct("s", "d")).alias("used"))
-        out = level if low <= 1 else None
-        for k in range(2, high + 1):
-            step = level.join(e.select(F.col("s").alias("at"), F.col("d").alias("next")), "at")
-            edge = F.struct(F.col("at").alias("s"), F.col("next").alias("d"))
-            level = step.where(~F.array_contains("used", edge)).select("s", F.col("next").alias("at"), F.array_append("used", edge).alias("used"))
+        key = F.struct(*[F.col(c) for c in self.graph.keys.get(kind, df.columns)])
+        ends = lambda x, y: df.select(F.col(x).alias("from"), F.col(y).alias("to"), key.alias("edge"), F.struct("*").alias("row"))
+        e = ends(src, dst)
+        if both:
+            e = e.union(ends(dst, src).where(F.col("from") != F.col("to")))
+        if hops is None:
+            marks = [F.array("edge").alias(mark)] if mark else []
+            return Relation(e.select(F.col("from").alias(f"{a}."), F.col("to").alias(f"{b}."), *[F.col("row")[c].alias(f"{var}.{c}") for c in df.columns], *marks), [a, b])
+        low, high = hops
+        if low < 1 or high is not None and high < low:
+            raise PatternError("a path has at least one hop and no more than its upper bound")
+        e = e.select("from", "to", "edge")
+        level = e.select("from", "to", F.array("edge").alias("used"))
+        out = level if low == 1 else None
+        for k in range(2, (high or MAX_HOPS) + 1):
+            if high is None:
+                level = materialize(level, "trails")
+                if level.isEmpty():
+                    break
+            step = level.join(e.select(F.col("from").alias("to"), F.col("to").alias("next"), "edge"), "to")
+            level = step.where(~F.array_contains("used", F.col("edge"))).select("from", F.col("next").alias("to"), F.array_append("used", F.col("edge")).alias("used"))
             if k >= low:
                 out = level if out is None else out.union(level)
-        return Relation(out.select(F.col("s").alias(f"{a}."), F.col("at").alias(f"{b}.")).distinct(), [a, b])
+        else:
+            if high is None and not level.isEmpty():
+                raise PatternError(f"an unbounded path took more than {MAX_HOPS} hops")
+        out = level.limit(0) if out is None else out
+        return Relation(out.select(F.col("from").alias(f"{a}."), F.col("to").alias(f"{b}."), *([F.col("used").alias(mark)] if mark else [])), [a, b])
 
     def match(self, text: str) -> DataFrame:
         relations: list[Relation] = []
-        labels: dict[str, str] = {}
+        edges: list[tuple] = []
         for part in _split_top(text):
             at, last = 0, None
             part = part.strip()
@@ -130,30 +175,42 @@ class CypherCompiler:
                 if m:
                     var = m[1] or self._name()
                     if m[2]:
-                        labels[var] = m[2]
                         relations.append(self._node_relation(var, m[2], _props(m[3])))
                     elif m[3]:
                         raise PatternError("properties need a label")
                     if pending:
-                        back, name, kind, low, high, props = pending
+                        back, name, kind, hops, props, both = pending
                         a, b = (var, last) if back else (last, var)
-                        relations.append(self._edge_relation(name, kind, a, b, low, high, props))
+                        edges.append((name, kind, a, b, hops, props, both))
+                        relations.append(None)  # in its place among the nodes
                         pending = None
                     last = var
                 else:
                     m = _REL.match(part, at)
-                    if not m or last is None:
+                    if not m or last is None or m[1] and m[9]:
                         raise PatternError(f"can't read the pattern at: {part[at:at + 40]}")
-                    star = m[5] is not None
-                    pending = (bool(m[1]), m[2] or self._name(), m[3], int(m[4] or 1) if star else 1, int(m[5]) if star else 1, _props(m[6]))
+                    hops = None
+                    if m[4]:
+                        hops = (int(m[5] or 1), int(m[7]) if m[7] else int(m[5]) if m[5] and not m[6] else None)
+                    pending = (bool(m[1]), m[2] or self._name(), m[3], hops, _props(m[8]), not m[1] and not m[9])
                 at = m.end()
                 while at < len(part) and part[at].isspace():
                     at += 1
-        return join_relations(relations)
+            if pending:
+                raise PatternError("a relationship must end in a node")
+        kinds = [e[1] for e in edges]
+        marks = [f"#{i}" if kinds.count(kind) > 1 else None for i, kind in enumerate(kinds)]
+        made = iter([self._edge_relation(*e, mark) for e, mark in zip(edges, marks)])
+        df = join_relations([r or next(made) for r in relations])
+        for i, mark in enumerate(marks):
+            for other, kind in zip(marks[:i], kinds):
+                if kind == kinds[i] and mark:
+                    df = df.where(~F.arrays_overlap(F.col(f"`{other}`"), F.col(f"`{mark}`")))
+        return df.drop(*[m for m in marks if m])
 
     def _expr(self, text: str, df: DataFrame) -> str:
         """Cypher expression to Spark SQL over columns named 'var.prop'."""
-        text = re.sub(r"\$(\w+)", lambda m: repr(self.params[m[1]]), text)
+        text = re.sub(r"\$(\w+)", "\x00\\1\x00", text)  # values come in last, as literals
         text = re.sub(r"count\(\s*\*\s*\)", "count(1)", text, flags=re.I)
         text = re.sub(r"(\w+\.\w+)\s+STARTS WITH\s+('[^']*')", r"startswith(\1, \2)", text, flags=re.I)
         text = re.sub(r"(\w+\.\w+)\s+CONTAINS\s+('[^']*')", r"contains(\1, \2)", text, flags=re.I)
@@ -162,7 +219,7 @@ class CypherCompiler:
         for i in range(0, len(parts), 2):
             parts[i] = re.sub(r"\b([A-Za-z_]\w*)\.(\w+)\b", lambda m: f"`{m[1]}.{m[2]}`" if f"{m[1]}.{m[2]}" in df.columns else m[0], parts[i])
             parts[i] = re.sub(r"(?<![`.\w])([A-Za-z_]\w*)(?![\w`.(])", lambda m: f"`{m[1]}.`" if f"{m[1]}." in df.columns else m[0], parts[i])
-        return "".join(parts)
+        return re.sub(r"\x00(\w+)\x00", lambda m: _sql_literal(self.params[m[1]]), "".join(parts))
 
     def _return(self, df: DataFrame, text: str) -> DataFrame:
         distinct = bool(re.match(r"\s*DISTINCT\b", text, re.I))
@@ -230,12 +287,12 @@ _CLAUSE = re.compile(r"\b(MATCH|WHERE|RETURN|ORDER BY|LIMIT|WITH|FILTER|LET|NEXT
 
 
 def _clauses(text: str) -> list[str]:
-    """Keyword, body, keyword, body .. at keywords outside braces and quotes ('STARTS WITH' is an operator, not a clause)."""
+    """Keyword, body, keyword, body .. at keywords outside brackets and quotes ('STARTS WITH' is an operator, not a clause)."""
     out, depth, quoted, last, at = [], 0, False, 0, 0
     while at < len(text):
         c = text[at]
         quoted ^= c == "'"
-        depth += ((c == "{") - (c == "}")) if not quoted else 0
+        depth += ((c in "([{") - (c in ")]}")) if not quoted else 0
         m = _CLAUSE.match(text, at) if depth == 0 and not quoted and (at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")) else None
         if m and not re.search(r"STARTS\s+$", text[:at], re.I):
             out += [text[last:at], m[1]]
@@ -273,6 +330,9 @@ def graph_table(graph: GraphView, query: str) -> DataFrame:
     return inner.sparkSession.sql(query[: m.start()] + " {gt} " + query[m.end() :], gt=inner)
 
 
+RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"  # fixed value
+
+
 def sparql(triples: DataFrame, query: str) -> DataFrame:
     """SELECT [DISTINCT] ?a ?b WHERE { patterns; `a`; ';' and ',' lists; path p+; FILTER(..) } [ORDER BY ..] over triples (s, p, o)."""
     prefixes = dict(re.findall(r"PREFIX\s+(\w*):\s*<([^>]*)>", query, re.I))
@@ -289,10 +349,15 @@ def sparql(triples: DataFrame, query: str) -> DataFrame:
             return text[1:-1]
         if text.startswith('"'):
             return re.match(r'"([^"]*)"', text)[1]
-        if ":" in text and text.split(":")[0] in prefixes:
-            return text if prefixes[text.split(":")[0]] == "" else text
         return text
 
+    def full(text: str) -> list[str]:
+        """What a term matches: a prefixed name its full IRI (and itself, for stores that keep prefixed names), `a` rdf:type."""
+        if text == "a":
+            return ["a", RDF_TYPE]
+        name, colon, rest = text.partition(":")
+        return [term(text)] + ([prefixes[name] + rest] if colon and not text.startswith(("<", '"')) and name in prefixes else [])
+
     relations = []
     for statement in re.split(r"\.(?=\s|$)", body):
         subject = None
@@ -304,7 +369,7 @@ def sparql(triples: DataFrame, query: str) -> DataFrame:
                 subject, words = words[0], words[1:]
             pred, objects = words[0], [w for w in words[1:] if w != ","]
             for obj in objects:
-                relations.append(_triple_relation(triples, subject, pred, obj, term))
+                relations.append(_triple_relation(triples, subject, pred, obj, full))
     df = join_relations(relations)
     for f in filters:
         expr = re.sub(r"\?(\w+)", r"`\1.`", f).replace("&&", " AND ").replace("||", " OR ")
@@ -320,15 +385,15 @@ def sparql(triples: DataFrame, query: str) -> DataFrame:
     return out
 
 
-def _triple_relation(triples: DataFrame, s: str, p: str, o: str, term) -> Relation:
+def _triple_relation(triples: DataFrame, s: str, p: str, o: str, full) -> Relation:
     from loomgraph.operators.traverse import closure
 
     df = triples
     if p.endswith("+"):
-        df = df.where(F.col("p") == term(p[:-1]))
+        df = df.where(F.col("p").isin(full(p[:-1])))
         df = closure(df.select(F.col("s").alias("a"), F.col("o").alias("b"))).select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o"))
     elif not p.startswith("?"):
-        df = df.where(F.col("p") == term(p))
+        df = df.where(F.col("p").isin(full(p)))
     cols, names = [], []
     for text, c in ((s, "s"), (p, "p"), (o, "o")):
         if text.startswith("?"):
@@ -338,7 +403,7 @@ def _triple_relation(triples: DataFrame, s: str, p: str, o: str, term) -> Relati
                 cols.append(F.col(c).alias(f"{text[1:]}."))
                 names.append(text[1:])
         elif c != "p":
-            df = df.where(F.col(c) == term(text))
+            df = df.where(F.col(c).isin(full(text)))
     return Relation(df.select(*cols), names)
 
 

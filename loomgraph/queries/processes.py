@@ -210,6 +210,32 @@ def cypher_variable_length(spark, d):
     return P.cypher(g, "MATCH (a:Nation {n_nationkey: $first})-[:SENDS*1..2]->(b:Nation) RETURN DISTINCT b.n_nationkey AS node", {"first": first}).select(F.col("node").cast("long").alias("node"))
 
 
+@query(f"WITH {SQL_NATIONS} SELECT x AS a, y AS b, count(*) AS n FROM (SELECT src AS x, dst AS y FROM g3 UNION ALL SELECT dst, src FROM g3) GROUP BY 1, 2")
+def cypher_undirected(spark, d):
+    """Without a direction every edge is found from both its ends."""
+    return P.cypher(shop(spark, d), "MATCH (a:Nation)-[:SENDS]-(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, count(*) AS n").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n")
+
+
+@query(f"WITH {SQL_NATIONS} SELECT x.src AS a, y.dst AS b, count(*) AS n FROM g3 x JOIN g3 y ON x.dst = y.src WHERE NOT (x.src = y.src AND x.dst = y.dst) GROUP BY 1, 2")
+def cypher_two_hop_paths(spark, d):
+    """A row for each path of exactly two hops: several paths between two nations count each."""
+    g = shop(spark, d)
+    return P.cypher(g, "MATCH (a:Nation)-[:SENDS*2]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b, count(*) AS n").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n")
+
+
+@query(f"WITH {SQL_NATIONS} SELECT x.src AS a, y.src AS c, count(*) AS n FROM g3 x JOIN g3 y ON x.dst = y.dst WHERE x.src <> y.src GROUP BY 1, 2")
+def cypher_shared_target(spark, d):
+    """One relationship is bound once, so a nation is no co-sender of itself."""
+    return P.cypher(shop(spark, d), "MATCH (a:Nation)-[:SENDS]->(b:Nation)<-[:SENDS]-(c:Nation) RETURN a.n_nationkey AS a, c.n_nationkey AS c, count(*) AS n").select(F.col("a").cast("long").alias("a"), F.col("c").cast("long").alias("c"), "n")
+
+
+@query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey // 2 AS b FROM nation WHERE n_nationkey > 0), r(a, b) AS (SELECT a, b FROM e UNION ALL SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM r")
+def cypher_unbounded_path(spark, d):
+    n = t(spark, d, "nation")
+    g = P.GraphView().node("Nation", n, "n_nationkey").edge("NEXT", n.where("n_nationkey > 0").select(F.col("n_nationkey").alias("src"), F.floor(F.col("n_nationkey") / 2).alias("dst")), "src", "dst")
+    return P.cypher(g, "MATCH (a:Nation)-[:NEXT*]->(b:Nation) RETURN a.n_nationkey AS a, b.n_nationkey AS b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+
 @query("SELECT c_custkey AS who FROM customer WHERE c_acctbal > 5000 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def cypher_exists(spark, d):
     return P.cypher(shop(spark, d), "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Order {o_orderpriority: '1-URGENT'}) } AND c.c_acctbal > 5000 RETURN c.c_custkey AS who")
@@ -241,6 +267,17 @@ def sparql_select(spark, d):
     return P.sparql(shop_triples(spark, d), 'PREFIX ex: <http://example.org/> SELECT ?who ?nation WHERE { ?who a ex:Customer ; ex:lives ?nation ; ex:balance ?b . ?nation ex:partOf <r:1> . FILTER(?b > 4000) } ORDER BY ?who')
 
 
+@query("SELECT 'http://example.org/c' || c_custkey AS who, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
+def sparql_full_iris(spark, d):
+    """Prefixed names find full IRIs, as N-Triples hold them."""
+    c, n = t(spark, d, "customer"), t(spark, d, "nation")
+    iri = lambda kind, x: F.concat(F.lit(f"http://example.org/{kind}"), x)
+    tr = c.select(iri("c", "c_custkey").alias("s"), F.lit(P.RDF_TYPE).alias("p"), F.lit("http://example.org/Customer").alias("o"))
+    tr = tr.union(c.select(iri("c", "c_custkey"), F.lit("http://example.org/lives"), iri("n", "c_nationkey"))).union(n.select(iri("n", "n_nationkey"), F.lit("http://example.org/name"), "n_name"))
+    tr = tr.union(n.select(iri("n", "n_nationkey"), F.lit("http://example.org/partOf"), iri("r", "n_regionkey")))
+    return P.sparql(tr, "PREFIX ex: <http://example.org/> SELECT ?who ?name WHERE { ?who a ex:Customer ; ex:lives ?n . ?n ex:partOf ex:r2 ; ex:name ?name . }")
+
+
 @query("WITH RECURSIVE e AS (SELECT 'n:' || n_nationkey AS a, 'n:' || (n_nationkey // 2) AS b FROM nation WHERE n_nationkey > 0), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a, b FROM r WHERE a <> b")
 def sparql_path(spark, d):
     return P.sparql(shop_triples(spark, d), "PREFIX ex: <http://example.org/> SELECT DISTINCT ?a ?b WHERE { ?a ex:next+ ?b . }")
