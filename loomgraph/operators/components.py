@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.storage import materialize
+from loomgraph.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -33,8 +33,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         maps.append(to)
         left = to.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = to.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        before = e
         e = e.join(left, "a").join(right, "b").where("x <> y")
         e = materialize(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not maps:
@@ -45,4 +47,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     # Written first, so that the join back can be split or broadcast; straight onto the aggregate it would gather a component in one task.
     out = materialize(out, "roots") if len(maps) > 1 else out
     least = materialize(out.groupBy("to").agg(F.min("node").alias("component")), "least")
-    return materialize(out.join(least, "to").select("node", "component"), "components")
+    found = materialize(out.join(least, "to").select("node", "component"), "components")
+    discard(e, out, least, *maps)
+    return found

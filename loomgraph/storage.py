@@ -11,11 +11,16 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset (as in tests)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where that is unset and Spark runs in one process (as in tests).
+
+    Where it is unset on a cluster, this raises: every executor would write to a disk of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
     return _OWN_DIR[app]
@@ -25,11 +30,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}/{tag}"
 
 
-def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "step", **options: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, computes df once.
 
-    (An eager DataFrame.checkpoint() computes df twice, once to count it and once to write it.)
+    (An eager DataFrame.checkpoint() computes df twice, once to count it and once to write it.) options: of the Parquet writer.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that materialize() gave and no later plan reads; others are left alone."""
+    for df in tables:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        base = f"{shared_dir(spark)}/loomgraph/".split(":", 1)[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.split(":", 1)[-1].lstrip("/").startswith(base):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
