@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Queries of a block (held by a task), candidates of a slice (streamed through it), dimensions of a step.
 QUERY_BLOCK, SLICE, STEP = 32_768, 32_768, 16
+#: Bytes of a query block's vectors, as doubles; long vectors make smaller blocks.
+BLOCK_BYTES = 128_000_000
 _EXACT = 2**53
 
 
@@ -130,8 +132,9 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) ->
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     clean = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(finite)
     rows = clean.select("vec_id", is_query.alias("is_q"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-    n, nq = clean.agg(F.count("*"), F.count_if(is_query)).first()
-    blocks, slices = max(1, -(-nq // QUERY_BLOCK)), max(1, -(-n // SLICE))
+    n, nq, longest = clean.agg(F.count("*"), F.count_if(is_query), F.max(F.size("embedding"))).first()
+    rows_held = max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * (longest or 1))))
+    blocks, slices = max(1, -(-nq // rows_held)), max(1, -(-n // SLICE))
     dims, b, s = F.size("v").cast("long").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id"), F.lit(slices))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     queries = rows.where("is_q").select(dims, b.cast("long").alias("block"), every(slices).alias("slice"), F.lit(0).alias("kind"), "vec_id", "v")

@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import slices_by_bytes, text_buffer
+from loomgraph.storage import materialize
 
 #: n-grams in a profile.
 PROFILE = 400
 #: Documents that a language's profile is learned from: all it has, or a hashed sample of this many on average.
 SAMPLE = 2_000
+#: Labels beyond this many are no set of languages: an error, so that what is collected stays bounded by LANGUAGES x PROFILE rows.
+LANGUAGES = 10_000
+#: Letters whose n-grams are counted at a time.
+BLOCK = 1 << 20
 UNKNOWN = "und"
 
 
@@ -52,14 +57,22 @@ def gram_counts(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 1- to 3-grams of one text, ascending, and their counts. A gram packs 21 bits a character; 1 stands for a gap."""
     if not len(letters) or not (letters != 1).any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    a = letters.astype(np.uint64)
-    one = np.uint64(1)
-    a = np.concatenate([[one] if a[0] != one else [], a, [one] if a[-1] != one else []]).astype(np.uint64)
+    a = np.concatenate([[1] if letters[0] != 1 else [], letters, [1] if letters[-1] != 1 else []]).astype(np.uint64)
+    parts = [_block_counts(a[max(0, lo - 2) : lo + BLOCK], min(lo, 2)) for lo in range(0, len(a), BLOCK)]
+    if len(parts) == 1:
+        return parts[0]
+    grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(back, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
+
+
+def _block_counts(a: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the grams that end in a block, the first `before` letters being those in front of it."""
     s = np.uint64(21)
     two = (a[:-1] << s) | a[1:]
     three = (two[:-1] << s) | a[2:]
-    every = np.sort(np.concatenate([a[a != one], two, three]))
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    own = a[before:]
+    every = np.sort(np.concatenate([own[own != 1], two[max(0, before - 1) :], three]))
+    first = np.flatnonzero(np.concatenate([every[:1] == every[:1], every[1:] != every[:-1]]))
     return every[first], np.diff(np.append(first, len(every)))
 
 
@@ -115,13 +128,15 @@ class Profiles:
 def learn_profiles(labelled: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> list[tuple[str, int, int]]:
     """(lang, gram, rank) of the `size` most frequent grams of each language in labelled (doc_id, text, lang).
 
-    Rows of null lang or text are left out. A language of more than `sample` documents is learned from those whose hashed doc_id
-    falls below sample / documents, so about `sample`. What is returned is bounded by languages x size.
+    Rows of null lang or text are left out. A language of more than `sample` documents is learned from those whose hashed doc_id and text
+    fall below sample / documents, so about `sample`. What is returned is bounded by LANGUAGES x size; more labels are an error.
     """
     base = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = base.groupBy("lang").agg(F.count("*").alias("docs"))
-    unit = (F.xxhash64(F.lit("language sample"), "doc_id").bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))).alias("u")
-    # One row a language; labels are a small closed set.
+    sizes = materialize(base.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
+    if sizes.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels: these are no languages")
+    unit = (F.xxhash64(F.lit("language sample"), "doc_id", "text").bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))).alias("u")
+    # One row a language, of which there are LANGUAGES at most.
     chosen = base.join(F.broadcast(sizes), "lang").where(unit < F.lit(float(sample)) / F.col("docs")).select("text", "lang")
     counts = chosen.mapInArrow(_count_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
@@ -176,7 +191,10 @@ def _keep_rows(rows, size: int, text_at: int):
 def keep_identified(docs: DataFrame, labelled: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with all their columns, whose text has a language by identify(); no shuffle.
 
-    Rejected are only null texts and texts without a letter, and every row if nothing could be learned.
+    Rejected are only null texts and texts without a letter. If nothing could be learned though docs has rows, this is an error, as every row
+    would be rejected. An empty table gives no rows; rows repeating a doc_id are judged each; columns of any name pass unchanged.
     """
     rows = learn_profiles(labelled, size, sample)
+    if not rows and not docs.isEmpty():
+        raise ValueError("no labelled text to learn a language from")
     return docs.mapInArrow(_keep_rows(rows, size, docs.columns.index("text")), docs.schema)

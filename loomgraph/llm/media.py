@@ -12,8 +12,13 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loomgraph.llm.common import text_buffer
+from loomgraph.llm.common import slices_by_bytes, text_buffer
+from loomgraph.storage import materialize
+
+#: Bytes of media handled at a time by a task.
+SLICE_BYTES = 8_000_000
 
 _FIELD = re.compile(rb"(?:[ \t\n\r\x0b\f]|#[^\n\r]*[\n\r])*([0-9]+)")
 
@@ -155,8 +160,8 @@ def _media_rows(side: int, tile: int):
     def run(batches):
         kind = pa.struct([("tile_row", pa.int32()), ("tile_col", pa.int32()), ("npy", pa.binary()), ("dhash", pa.string())])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in slices_by_bytes(text_buffer(batch.column(1))[1], SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
                 rows, ids = {"height": [], "width": [], "dhash": [], "tiles": [], "error": []}, part.column(0)
                 for data in part.column(1).to_pylist():
                     try:
@@ -180,8 +185,6 @@ def media_tiles(media: DataFrame, id_col: str = "media_id", media_col: str = "me
     repeating an id are decoded each; other columns are ignored; an empty table gives no rows.
     """
     kind = dict(media.dtypes)[id_col]
-    from pyspark.sql import functions as F
-
     slim = media.select(F.col(id_col).alias("media_id"), F.col(media_col).alias("media"))
     return slim.mapInArrow(_media_rows(side, tile), f"media_id {kind}, height int, width int, dhash string, tiles array<{TILE}>, error string")
 
@@ -193,49 +196,80 @@ def payload_of(text: bytes) -> bytes:
     return text + b" " * (-len(text) % UNIT if text else UNIT)
 
 
-def _text_media_rows(batches):
-    """Texts as images: payload to P6 bytes of 64 pixels a row; all else is computed from those stored bytes."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            raw, offs = text_buffer(part.column(1))
-            data, offs = raw.tobytes(), offs.tolist()
-            n, media = [], []
-            for a, b in zip(offs[:-1], offs[1:]):
-                payload = payload_of(data[a:b])
-                n.append(b - a)
-                media.append(encode_netpbm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+ENCODERS = {"netpbm": encode_netpbm, "bmp": encode_bmp}
+
+
+def _text_media_rows(form: str):
+    encode = ENCODERS[form]
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column(1))
+            for lo, hi in slices_by_bytes(offsets, SLICE_BYTES):
+                data, offs = raw[offsets[lo] : offsets[hi]].tobytes(), (offsets[lo : hi + 1] - offsets[lo]).tolist()
+                media = [encode(np.frombuffer(payload_of(data[a:b]), np.uint8).reshape(-1, WIDTH, 3)) for a, b in zip(offs[:-1], offs[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offs), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return run
+
 
+def texts_to_media(docs: DataFrame, form: str = "netpbm") -> DataFrame:
+    """Store every text as an image, and return the stored table: doc_id, n_bytes (UTF-8 bytes of the text), media.
 
-def texts_to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (UTF-8 bytes of the text), media: the text, padded by spaces to whole rows, as a P6 image. Null is empty."""
-    return docs.select("doc_id", "text").mapInArrow(_text_media_rows, "doc_id long, n_bytes long, media binary")
+    The text, padded by spaces to whole rows of 64 pixels of 3 samples, is the image's pixels: form "netpbm" (P6) or "bmp" (24 bits). The table
+    is written to the shared folder (Parquet, zstd), and what is returned reads it from there. A null text is empty; equal texts give
+    equal bytes; rows repeating a doc_id are stored each; an empty table gives no rows; other columns are ignored. A text may have any length
+    that a binary value can hold (about 2 GB); a task holds SLICE_BYTES of texts, or the one that exceeds it.
+    """
+    rows = docs.select("doc_id", "text").mapInArrow(_text_media_rows(form), "doc_id long, n_bytes long, media binary")
+    return materialize(rows, "media", compression="zstd")
 
 
-def _feature_rows(side: int, tile: int):
+def _digest_rows(side: int, tile: int):
     def run(batches):
+        kind = pa.struct([("tile_row", pa.int32()), ("tile_col", pa.int32()), ("npy", pa.binary()), ("dhash", pa.string())])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                cols: list[list] = [[] for _ in range(6)]
-                for media in part.column("media").to_pylist():
+            for lo, hi in slices_by_bytes(text_buffer(batch.column(2))[1], SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                cols: list[list] = [[] for _ in range(7)]
+                for media in part.column(2).to_pylist():
                     pixels = decode(media)
-                    payload = pixels.tobytes()
-                    image = gray(pixels)
-                    hashes = [hash_hex(h) for *_, h in tiles(image, side, tile)]
-                    values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), "-".join([hash_hex(difference_hash(image)), *hashes]))
+                    payload, image = pixels.tobytes(), gray(pixels)
+                    made = [{"tile_row": r, "tile_col": c, "npy": npy, "dhash": hash_hex(h)} for r, c, npy, h in tiles(image, side, tile)]
+                    values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), hash_hex(difference_hash(image)), made)
                     for c, v in zip(cols, values):
                         c.append(v)
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(kind)]
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dhash", "tiles"]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
 
     return run
 
 
 def media_digests(media: DataFrame, side: int = 64, tile: int = 32) -> DataFrame:
-    """From doc_id, n_bytes, media: what reading the stored bytes back gives (payload, digests) and the feature, the difference
-    hash of the image and of each of its NPY tiles."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(_feature_rows(side, tile), schema)
+    """From stored doc_id, n_bytes, media: what reading the bytes back gives (payload, digests), and the image's NPY tiles, written likewise.
+
+    Returns the stored table of payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, dhash (difference hash of the image) and
+    tiles: the image, area-resized to side x side, as tile x tile squares in NPY bytes with their difference hashes. Equal bytes give
+    equal values, ties in a difference hash count as not darker, rows repeating a doc_id are read each, an empty table gives no rows.
+    """
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tiles array<{TILE}>"
+    return materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(_digest_rows(side, tile), schema), "tiles", compression="zstd")
+
+
+def _tile_rows(batches):
+    """A string for each row's stored tiles: every tile's hash, and a digest of all their samples as numpy reads them."""
+    for batch in batches:
+        out = []
+        for row in batch.column(0).to_pylist():
+            arrays = [np.load(io.BytesIO(t["npy"]), allow_pickle=False) for t in row]
+            out.append("-".join([*(t["dhash"] for t in row), f"{zlib.crc32(b''.join(a.tobytes() for a in arrays)):08x}"]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], names=[*batch.schema.names[1:], "tile_feature"])
+
+
+def with_feature(digests: DataFrame) -> DataFrame:
+    """media_digests() with its stored tiles read back: feature is the image's difference hash, those of its tiles, and a checksum of the tiles' samples."""
+    rest = [c for c in digests.columns if c != "tiles"]
+    schema = ", ".join(f"{c} {digests.schema[c].dataType.simpleString()}" for c in rest) + ", tile_feature string"
+    read = digests.select("tiles", *rest).mapInArrow(_tile_rows, schema)
+    return read.withColumn("feature", F.concat_ws("-", "dhash", "tile_feature")).drop("dhash", "tile_feature")

@@ -125,16 +125,18 @@ def _pack_group(tokens: int, documents: int, attention: float, weights, rule: st
     return run
 
 
-def best_fit_pack(docs: DataFrame, tokens: int = 4096, documents: int | None = None, attention: float | None = None, weights=(1.0, 1e-3, 1e-3), rule: str = "norm", tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokens: int = 4096, documents: int | None = None, attention: float | None = None, weights=(1.0, 1e-3, 1e-3), rule: str = "norm", tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False, longest: int | None = None) -> DataFrame:
     """Pack all documents (doc_id, text) into sequences of at most `tokens` identifiers.
 
-    Longer documents are cut into pieces of `tokens`, the last shorter. `documents` and `attention` bound the pieces of a sequence and
-    the sum of their squared lengths; by default they never bind (a sequence of `tokens` can't exceed them). Pieces are dealt by
+    Longer documents are cut into pieces of `longest` (by default `tokens`), the last shorter. `documents` and `attention` bound the pieces of a sequence and
+    the sum of their squared lengths; by default neither binds (pieces that fill `tokens` exceed neither), and the choice is best fit by tokens.
+    Pieces are dealt by
     hash to groups of about GROUP_PIECES, packed apart; each leaves a part-filled bin or two. Returns doc_id, piece, start, length,
     ids_crc32, sequence_id (unique over groups), offset (gapless within a sequence), and ids if asked for.
-    Null texts are one piece holding only end_id; rows repeating a doc_id are packed each; an empty table gives no rows.
+    Null texts are one piece holding only end_id; rows repeating a doc_id are packed each; other columns are ignored; an empty table gives no
+    rows. A text of any length is cut into pieces as it is tokenized; a capacity that a single piece exceeds is an error.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, end_id, tokens, with_ids), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, end_id, min(tokens, longest or tokens), with_ids), "pieces")
     n = max(1, round(pieces.count() / GROUP_PIECES))
     group = F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(n))
     dealt = pieces.withColumn("pack_group", group)

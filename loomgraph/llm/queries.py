@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_topk, language_id, license_scan, media, mixing, near_dedup, packing, pii, sharding, token_counts
@@ -29,13 +29,25 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(media.texts_to_media(read_table(spark, sf_dir, "documents")))
+    stored = media.texts_to_media(read_table(spark, sf_dir, "documents"))
+    return media.with_feature(media.media_digests(stored, side=32, tile=16))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(read_table(spark, sf_dir, "documents"), tokens=4096).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def packing_under_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best fit where every capacity binds: pieces of 1,024 at most, 12 to a sequence, attention cost of three and a half full pieces.
+
+    Columns besides: the sequence's tokens, pieces and attention cost.
+    """
+    out = packing.best_fit_pack(read_table(spark, sf_dir, "documents"), tokens=4096, longest=1024, documents=12, attention=3.5 * 1024**2, weights=(1.0, 1.0, 1.0))
+    own = Window.partitionBy("sequence_id")
+    out = out.withColumn("sequence_tokens", F.sum("length").over(own)).withColumn("sequence_pieces", F.count("*").over(own)).withColumn("sequence_cost", F.sum(F.col("length") * F.col("length")).over(own))
+    return out.select("doc_id", "piece", "length", "sequence_id", "offset", "sequence_tokens", "sequence_pieces", "sequence_cost")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
@@ -58,7 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_pii, op4_media_columns, op5_best_fit_packing, op6_near_dedup, op7_token_counts, op8_sharding, op9_mixing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_pii, op4_media_columns, op5_best_fit_packing, packing_under_capacities, op6_near_dedup, op7_token_counts, op8_sharding, op9_mixing, op10_license_scan)}
 
 ORACLE = {
     "op1_exact_topk": """

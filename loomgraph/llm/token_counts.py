@@ -35,6 +35,8 @@ def _write_part(folder: str, tokenizer: str, end_id: int):
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"  # an attempt's own file: a lost attempt's is never read
         words = WordTokenizer.at(tokenizer, literal=True)  # so that only documents end with end_id
+        if max(len(words.ends) - 1, end_id) > 65_535:
+            raise ValueError("the tokenizer's identifiers need more than 16 bits")
         fs, path = _open(folder)
         fs.create_dir(path, recursive=True)
         tokens, place = 0, 0

@@ -111,6 +111,34 @@ def test_profiles_against_counting():
     assert {name(int(g)): int(n) for g, n in zip(grams, counts)} == dict(want)
 
 
+def test_gram_counts_in_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    letters = np.where(rng.random(500) < 0.2, 1, rng.integers(97, 101, 500)).astype(np.uint32)
+    whole = language_id.gram_counts(letters)
+    for block in (1, 2, 3, 64):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        got = language_id.gram_counts(letters)
+        assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
+
+
+def test_out_of_place_distance_against_plain_python():
+    """Prediction and score by ranks in plain lists."""
+    rng = np.random.default_rng(2)
+    rows, size = [], 12
+    for lang in ("aa", "bb", "cc"):
+        rows += [(lang, int(g), k) for k, g in enumerate(rng.choice(np.arange(2, 60), size, replace=False))]
+    profiles = language_id.Profiles(rows, size)
+    for n in (1, 5, 12):
+        grams = rng.choice(np.arange(2, 80), n, replace=False).astype(np.uint64)
+        total = {}
+        for lang in ("aa", "bb", "cc"):
+            rank = {g: k for la, g, k in rows if la == lang}
+            total[lang] = sum(abs(rank[int(g)] - i) if int(g) in rank else size for i, g in enumerate(grams))
+        best = min(total, key=lambda x: (total[x], x))
+        lang, score = profiles.predict(grams)
+        assert lang == best and abs(score - (1 - total[best] / (size * n))) < 1e-12
+
+
 def test_broken_bytes_are_no_letters():
     rows = [b"abc", b"\xff\xfe", b"d\xc3"]
     letters, offs = language_id._letters(np.frombuffer(b"".join(rows), np.uint8), np.array([0, 3, 5, 7]))
@@ -140,17 +168,27 @@ def test_area_resize_is_the_mean_area():
 def test_media_features(spark, docs, no_docs, rows):
     import io
 
-    got = media.media_digests(media.texts_to_media(docs)).collect()
-    want = {}
-    for i, text, *_ in rows:
-        b = (text or "").encode()
-        p = b + b" " * ((-len(b)) % 192 or (192 if not b else 0))
-        want[(i, len(b))] = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-    assert len(got) == len(rows) and all(want[(r.doc_id, r.n_bytes)] == (r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got)
-    by = {}
-    for r in got:
-        assert by.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
-    assert media.media_digests(media.texts_to_media(no_docs)).collect() == []
+    for form in ("netpbm", "bmp"):
+        stored = media.texts_to_media(docs, form)
+        assert stored.inputFiles() and all(m.media[:2] == (b"P6" if form == "netpbm" else b"BM") for m in stored.collect())
+        tiled = media.media_digests(stored, side=32, tile=16)
+        got = media.with_feature(tiled).collect()
+        want = {}
+        for i, text, *_ in rows:
+            b = (text or "").encode()
+            p = b + b" " * ((-len(b)) % 192 or (192 if not b else 0))
+            image = media.gray(np.frombuffer(p, np.uint8).reshape(-1, 64, 3))
+            parts = media.tiles(image, 32, 16)
+            crc = zlib.crc32(b"".join(np.load(io.BytesIO(npy)).tobytes() for *_, npy, _ in parts))
+            feature = "-".join([f"{media.difference_hash(image):016x}", *(f"{h:016x}" for *_, h in parts), f"{crc:08x}"])
+            want[(i, len(b))] = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), feature)
+        assert len(got) == len(rows) and all(want[(r.doc_id, r.n_bytes)] == (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in got)
+        first = tiled.where("doc_id = 1").first().tiles
+        assert [np.load(io.BytesIO(bytes(t.npy))).shape for t in first] == [(16, 16)] * 4
+        by = {}
+        for r in got:
+            assert by.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+        assert media.with_feature(media.media_digests(media.texts_to_media(no_docs, form))).collect() == []
     good = media.encode_bmp(np.full((3, 3, 3), 7, np.uint8))
     df = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"")), (4, bytearray(b"P6\n9 9\n255\nxx")), (5, bytearray(b"BM"))], "media_id long, media binary")
     out = {r.media_id: r for r in media.media_tiles(df).collect()}

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -95,6 +96,31 @@ def test_packing_under_every_capacity(docs, rows):
         packing.vector_best_fit(np.array([10, 4000]), 4096, 10, 1000.0)
 
 
+def test_vector_best_fit_against_plain_python():
+    """Every choice of bin, by both rules, with capacities that bind."""
+    rng = np.random.default_rng(9)
+    for rule, weights in itertools.product(("norm", "dot"), ((1.0, 1.0, 1.0), (1.0, 1e-3, 1e-3), (0.2, 2.0, 0.5))):
+        lengths = rng.integers(1, 60, 150)
+        caps = (100, 4, 4000.0)
+        where, offset = packing.vector_best_fit(lengths, *caps, weights=weights, rule=rule)
+        bins: list[list[int]] = []
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            best = None
+            for k, b in enumerate(bins):
+                left = [caps[0] - sum(b), caps[1] - len(b), caps[2] - sum(x * x for x in b)]
+                need = [lengths[i], 1, lengths[i] ** 2]
+                if all(x >= y for x, y in zip(left, need)):
+                    a, w = [x / c for x, c in zip(left, caps)], [y / c for y, c in zip(need, caps)]
+                    score = -sum(v * (x - y) ** 2 for v, x, y in zip(weights, a, w)) if rule == "norm" else sum(v * x * y for v, x, y in zip(weights, a, w))
+                    if best is None or score > best[0] + 1e-12:
+                        best = (score, k)
+            k = best[1] if best else len(bins)
+            bins += [] if best else [[]]
+            assert (where[i], offset[i]) == (k, sum(bins[k]))
+            bins[k].append(int(lengths[i]))
+        assert any(len(b) == 4 for b in bins) and any(sum(x * x for x in b) > 3000 for b in bins)
+
+
 def test_token_counts(docs, no_docs, rows):
     want = {}
     tok = Tokenizer.from_file(default_tokenizer())

@@ -55,6 +55,36 @@ def test_shards(docs, no_docs, rows):
     assert sharding.shuffle_into_shards(no_docs, shards=7).collect() == []
 
 
+def test_fisher_yates_against_plain_python(spark):
+    """Each bucket's order by the swaps themselves, all buckets end to end."""
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.shard, r.slot, r.doc_id) for r in sharding.shuffle_into_shards(df, shards=3, seed=9, bucket_bytes=3_000).collect())
+    total = sum(len(t) + 32 for _, t in rows)
+    n = -(-total // 3_000)
+    dealt = {r.doc_id: r.b for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(9), "doc_id", F.lit(0).cast("long"), F.lit(0).cast("long")), F.lit(n)).alias("b")).collect()}
+    order = []
+    for b in range(n):
+        mine = sorted(i for i in dealt if dealt[i] == b)
+        u = np.random.Generator(np.random.PCG64([9, b])).random(len(mine))
+        for i in range(len(mine)):
+            j = i + int(u[i] * (len(mine) - i))
+            mine[i], mine[j] = mine[j], mine[i]
+        order += mine
+    assert [i for *_, i in got] == order
+
+
+def test_one_number_for_all_rows(spark):
+    """A doc_id (or none) that all rows share is dealt over buckets; every row is kept."""
+    for one in (7, None):
+        rows = [(one, "same text", 1)] * 300 + [(one, f"own {i}", i) for i in range(100)] + [(i, "x", 0) for i in range(20)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, shard_salt int").repartition(4)
+        got = sharding.shuffle_into_shards(df, shards=5, seed=1, bucket_bytes=2_000).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(r[:2] for r in rows)
+        sizes = Counter(r.shard for r in got)
+        assert max(sizes.values()) - min(sizes.values()) <= 1 and all(sorted(r.slot for r in got if r.shard == s) == list(range(k)) for s, k in sizes.items())
+
+
 def words(text):
     return len((text or "").encode().split())
 
