@@ -12,7 +12,7 @@
 4. Inside each such component the full shingle sets are compared exactly: small components at once; large ones first in
    hashed chunks (bounded in documents and in shingles), each with a hub text. That joins nearly all of a family of copies. Where parts
    are left unjoined, a link between two of them needs a shingle that both texts hold among their rarest ones (the prefix filter,
-   with the component's own shingle counts and the least size that a partner can have); texts without such a shingle are
+   with the shingles that are common in the component last and the least size that a partner can have); texts without such a shingle are
    done, the others are grouped by these shingles and compared, small groups at once, large ones chunk by chunk wherever two chunks are not
    yet known to be connected. Each task is bounded and returns a spanning forest of its true links. No link is lost in this step.
 5. Components of the true links are the answer.
@@ -49,6 +49,8 @@ BUCKET = 2048
 #: Texts of a chunk in the exact check, and the shingles that these hold together (one text may exceed that alone).
 CHUNK = 128
 CHUNK_SHINGLES = 2_000_000
+#: A shingle that one in so many of a component's texts hold is common there.
+COMMON = 16
 
 _R = np.random.Generator(np.random.PCG64(77))
 _A = _R.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,40 +288,73 @@ def _chunks(texts, shingles) -> F.Column:
     return F.greatest(F.ceil(texts / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("long")
 
 
-def _shingle_rows(batches):
-    """One row a shingle of every text: group, part, node, n (size of its set), s."""
+def _sets_of(batch):
+    """Slices of a batch of (set1, text, ...): row range and, row by row, the shingle set, empty where a repeated doc_id brought another text."""
+    set1 = batch.column(0).to_numpy()
+    raw, offsets = text_buffer(batch.column(1))
+    for lo, hi in slices_by_bytes(offsets, 2_000_000):
+        sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        right = digests(sets)[0] == set1[lo:hi]
+        yield lo, hi, [s if r else s[:0] for s, r in zip(sets, right)]
+
+
+def _count_shingles(batches):
+    """How many of a slice's texts of each component hold each shingle: near, texts, s, n."""
     for batch in batches:
-        node, group, part, set1 = (batch.column(i).to_numpy() for i in range(4))
-        raw, offsets = text_buffer(batch.column(4))
-        for lo, hi in slices_by_bytes(offsets, 2_000_000):
-            a, b = offsets[lo], offsets[hi]
-            sets = shingle_sets(raw[a:b], offsets[lo : hi + 1] - a)
-            right = digests(sets)[0] == set1[lo:hi]
-            n = np.array([len(s) if r else 0 for s, r in zip(sets, right)], np.int64)
-            rows = np.repeat(np.arange(lo, hi), n)
-            every = np.concatenate([s for s, r in zip(sets, right) if r] or [np.zeros(0, np.uint64)])
-            for k in range(0, len(rows), 1_000_000):
-                at = rows[k : k + 1_000_000]
-                cols = [group[at], part[at], node[at], n[at - lo], every[k : k + 1_000_000].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["near", "part", "node", "n", "s"])
+        near, texts = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        for lo, hi, sets in _sets_of(batch):
+            for one in np.unique(near[lo:hi]):
+                own = np.flatnonzero(near[lo:hi] == one)
+                s, n = np.unique(np.concatenate([sets[i] for i in own]), return_counts=True)
+                cols = [np.full(len(s), one), np.full(len(s), texts[lo + own[0]]), s.view(np.int64), n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["near", "texts", "s", "n"])
+
+
+def prefix_length(n: int, least: int, percent: int) -> int:
+    """How many of a text's n shingles, from the front of a common order, must hold one that a linked text of at least `least` has in front too."""
+    partner = max(least, -(-n * percent // 100))
+    need = -(-(n + partner) * percent // (100 + percent))
+    return max(0, n - need + 1)
+
+
+def _prefix_rows(percent: int):
+    def run(batches):
+        for batch in batches:
+            near, part, node, least = (batch.column(i).to_numpy() for i in range(2, 6))
+            common = batch.column(6)
+            for lo, hi, sets in _sets_of(batch):
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for i, s in zip(range(lo, hi), sets):
+                    many = np.asarray(common[i].values if common[i].is_valid else [], np.int64).view(np.uint64)
+                    order = np.argsort(many)
+                    at = order[np.minimum(np.searchsorted(many, s, sorter=order), max(0, len(many) - 1))] if len(many) else np.zeros(0, np.int64)
+                    held = many[at] == s if len(many) else np.zeros(len(s), bool)
+                    last = many[np.sort(at[held])] if len(many) else s[:0]
+                    first = np.concatenate([s[~held], last])[: prefix_length(len(s), int(least[i]), percent)]
+                    for c, v in zip(out, (near[i], part[i], node[i])):
+                        c.append(np.full(len(first), v))
+                    out[3].append(first.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["near", "part", "node", "s"])
+
+    return run
 
 
 def cross_groups(large: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Texts of large (node, near, part, n_shingles) that may be linked with a text of another part, and the groups in which: (node, group).
 
-    Shingles of a component are ordered by the number of its texts that hold them, rarest first. Of two texts with n and m shingles and
-    100 * intersection >= percent * union, the intersection has at least need(n, m) = percent * (n + m) / (100 + percent) shingles, so the first
-    n - need + 1 of the one and m - need + 1 of the other share a shingle; m is at least percent * n / 100 and the component's least size.
+    The prefix filter: of two texts with n and m shingles and 100 * intersection >= percent * union, the intersection has at least
+    need = percent * (n + m) / (100 + percent) shingles. In any order of the component's shingles, the first n - need + 1 of the one and the
+    first m - need + 1 of the other therefore share one; m is at least percent * n / 100 and the component's least size. Here the
+    shingles that one in COMMON of the component's texts hold come last (there are at most COMMON times as many of them as a text has shingles on average),
+    rarest first, the others before them by hash. Only rows of prefixes are shuffled and joined; counts are aggregated before they are.
     """
-    rows = large.join(texts, "node").select("node", "near", "part", "set1", "text").mapInArrow(_shingle_rows, "near long, part long, node long, n long, s long")
-    rows = materialize(rows, "shingles")
-    held = materialize(rows.groupBy("near", "s").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")), "held")
-    least = materialize(large.groupBy("near").agg(F.min("n_shingles").alias("least")), "least")
-    order = Window.partitionBy("node").orderBy("df", "s")
-    ranked = rows.join(held, ["near", "s"]).withColumn("rank", F.row_number().over(order)).join(least, "near")
-    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    need = F.ceil((F.col("n") + partner) * percent / (100 + percent))
-    first = materialize(ranked.where((F.col("rank") <= F.col("n") - need + 1) & (F.col("lo") != F.col("hi"))).select("near", "s", "node", "part"), "prefixes")
+    size = materialize(large.groupBy("near").agg(F.count("*").alias("texts"), F.min("n_shingles").alias("least")), "sizes")
+    open_ = materialize(large.join(size, "near").join(texts, "node").select("set1", "text", "near", "texts", "part", "node", "least"), "open")
+    counts = open_.select("set1", "text", "near", "texts").mapInArrow(_count_shingles, "near long, texts long, s long, n long")
+    counts = counts.groupBy("near", "texts", "s").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= F.col("texts"))
+    common = materialize(counts.groupBy("near").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]).alias("common")), "common")
+    rows = open_.join(common, "near", "left").select("set1", "text", "near", "part", "node", "least", "common")
+    first = materialize(rows.mapInArrow(_prefix_rows(percent), "near long, part long, node long, s long"), "prefixes")
     shared = first.groupBy("near", "s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
     edges = first.join(materialize(shared.select("near", "s", "hub"), "shared"), ["near", "s"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return connected_components(edges).select("node", F.col("component").alias("group"))
@@ -333,7 +368,10 @@ def links_of(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     # a join of two tables can be split or broadcast at run time.
     size = materialize(near.groupBy("near").agg(_chunks(F.count("*"), F.sum("n_shingles")).alias("chunks")), "sizes")
     near = materialize(near.join(size, "near"), "near")
-    texts = materialize(docs.select(F.col("doc_id").alias("least"), "text").join(near.select("least", "node", "set1"), "least").drop("least"), "texts")
+    # The texts that take part are picked by their numbers alone, a table small enough to be sent along at most sizes.
+    texts = docs.select(F.col("doc_id").alias("least"), "text").join(materialize(near.select("least").distinct(), "wanted"), "least", "left_semi")
+    texts = materialize(texts, "texts")
+    texts = materialize(texts.join(near.select("least", "node", "set1"), "least").drop("least"), "texts")
     h = F.xxhash64("node")
     first = near.select("node", "near", "chunks", F.xxhash64("near", F.pmod(h, F.col("chunks"))).alias("task"))
     hubs = first.where("chunks > 1").select(F.col("near").alias("node"), "task").distinct()
