@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.traverse import bfs
-from loomgraph.storage import materialize
+from loomgraph.storage import discard, materialize
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
@@ -99,13 +99,17 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 200, toleran
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     e = materialize(edges.select("src", "dst").join(out, "src"), "pagerank")
     x = materialize(nodes.join(out, F.col("node") == F.col("src"), "left").select("node", F.lit(1.0 / n).alias("score"), F.col("out").isNull().alias("sink")), "pagerank")
-    for _ in range(rounds):
-        lost = x.where("sink").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("m")).first()["m"] if fix_sinks else 0.0
+    lost = x.where("sink").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("m")).first()["m"] if fix_sinks else 0.0
+    for k in range(rounds):
         got = e.join(x, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") / F.col("out")).alias("in"))
         new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + F.lit(lost / n))
         both = materialize(x.join(got, "node", "left").select("node", new.alias("score"), "sink", F.abs(new - F.col("score")).alias("c")), "pagerank")
+        # The change and the next round's lost mass come from one aggregate.
+        change, lost = both.agg(F.sum("c"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0))).first()
+        lost = lost if fix_sinks else 0.0
+        discard(x)
         x = both.select("node", "score", "sink")
-        if both.agg(F.sum("c").alias("c")).first()["c"] < tolerance:
+        if change < tolerance:
             break
     return x.select("node", "score")
 

@@ -56,6 +56,19 @@ def expected_tries(p: Column, max_tries: int = 6) -> Column:
     return reduce(lambda x, k: x + F.pow(p, F.lit(k)), range(1, max_tries), F.lit(1.0))
 
 
+def lock_costs(p: Column, hold: float, write: float, lock: float, max_tries: int = 6) -> tuple[Column, Column]:
+    """(optimistic, pessimistic) milliseconds a write at conflict rate p: repeat the work at each conflict, or lock and wait for the holder."""
+    return (hold + write) * expected_tries(p, max_tries), hold + write + lock + hold * p
+
+
+def readers_served(readers: DataFrame, reads: str) -> DataFrame:
+    """readers with the name ('old', 'new') they read: by phase of an expand-copy-contract rename, how many of each find their column filled."""
+    phases = F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(old).alias("old"), F.lit(new).alias("new")) for p, old, new in (("start", True, False), ("expand", True, False), ("copy", True, True), ("contract", False, True))]))
+    counts = readers.groupBy(reads).agg(F.count("*").alias("n")).withColumn("p", phases)
+    served = lambda name: F.sum(F.when((F.col(reads) == name) & F.col(f"p.{name}"), F.col("n")).otherwise(0))
+    return counts.groupBy("p.phase").agg(served("old").alias("old_readers"), served("new").alias("new_readers"), F.sum("n").alias("readers"))
+
+
 def write_gate(candidates: DataFrame, aliases: dict[str, str], allowed: list[str], single: list[str], least: float = 0.65) -> DataFrame:
     """candidates (seq, s, k, o, conf) with `outcome`: confidence, schema, single-value, duplicate or written, checked in this order.
 

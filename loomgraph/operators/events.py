@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from loomgraph.storage import materialize
 
 
 def replay(events: DataFrame, keys: list[str], order: Column, cut: Column | None = None) -> DataFrame:
@@ -19,6 +22,11 @@ def replay_from_snapshot(snapshot: DataFrame, tail: DataFrame, keys: list[str],
     return replay(base.unionByName(tail.select(*keys, "op", order)), keys, F.struct(F.col(order).isNotNull(), F.col(order)))
 
 
+def stored_snapshot(events: DataFrame, keys: list[str], order: str, cut) -> DataFrame:
+    """The set up to `cut`, written once, so that replay_from_snapshot() reads it and the tail however often it is asked."""
+    return materialize(replay(events, keys, F.col(order), F.col(order) <= cut), "snapshot")
+
+
 def trail(events: DataFrame, fact: Column) -> DataFrame:
     return events.where(fact).select("seq", "at", "actor", "op").orderBy("seq")
 
@@ -70,20 +78,40 @@ def digest(seq: Column, at: Column, actor: Column, op: Column, payload: Column,
     return F.substring(F.sha2(body.cast("binary"), 256), 1, 16)
 
 
+def _quoted(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def _chain_rows(keys: int):
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        chain, last = None, ""
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            prevs, hashes = [], []
+            for row in zip(*cols):
+                if row[:keys] != chain:
+                    chain, last = row[:keys], ""
+                seq, at, actor, op, payload = row[keys:]
+                body = f'[{seq}, {_quoted(at)}, {_quoted(actor)}, {_quoted(op)}, {payload}, "{last}"]'
+                prevs.append(last)
+                last = hashlib.sha256(body.encode()).hexdigest()[:16]
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=[*batch.schema.names, "prev", "hash"])
+
+    return run
+
+
 def build_chain(events: DataFrame, chain: list[str]) -> DataFrame:
-    """events (seq, at, actor, op, payload) of each chain with prev and hash. Each hash needs the one before: a fold over the
-    chain's ordered rows, so chains run side by side, one chain in order."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "at", "actor", "op", "payload")))
-    kind = "array<struct<seq:bigint,at:string,actor:string,op:string,payload:string,prev:string,hash:string>>"
-    start = F.struct(F.lit("").alias("last"), F.array().cast(kind).alias("all"))
-
-    def step(s: Column, r: Column) -> Column:
-        h = digest(r["seq"], r["at"], r["actor"], r["op"], r["payload"], s["last"])
-        one = F.struct(r["seq"].cast("bigint").alias("seq"), r["at"].alias("at"), r["actor"].alias("actor"), r["op"].alias("op"), r["payload"].alias("payload"), s["last"].alias("prev"), h.alias("hash"))
-        return F.struct(h.alias("last"), F.concat(s["all"], F.array(one)).alias("all"))
-
-    done = events.groupBy(*chain).agg(F.aggregate(rows, start, step)["all"].alias("rows"))
-    return done.select(*chain, F.explode("rows").alias("r")).select(*chain, "r.*")
+    """events (seq, at, actor, op, payload) of each chain with prev and hash. Each hash needs the one before, so a chain is one task's work
+    in order; it streams through, sorted on disk if need be, and only the last hash is held. Chains run side by side."""
+    cols = ["seq", "at", "actor", "op", "payload"]
+    rows = events.select(*chain, F.col("seq").cast("bigint").alias("seq"), *cols[1:]).repartition(*chain).sortWithinPartitions(*chain, *cols)
+    schema = StructType([*rows.schema, StructField("prev", StringType()), StructField("hash", StringType())])
+    return rows.mapInArrow(_chain_rows(len(chain)), schema)
 
 
 def verify_chain(rows: DataFrame, chain: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.traverse import bfs
@@ -61,3 +61,37 @@ def k_anonymity_sweep(df: DataFrame, keys: list[str]) -> DataFrame:
     depth = F.lit(len(keys)) - sum(flags[1:], flags[0])
     counts = df.rollup(*keys).agg(F.count("*").alias("n"), depth.alias("depth")).where("depth > 0")
     return counts.groupBy("depth").agg(F.min("n").alias("k"), F.count_if(F.col("n") == 1).alias("singletons"), F.count("*").alias("groups"))
+
+
+#: Four levels of deletion, weakest first, and by criterion the levels that meet it (fixed values).
+LEVELS = ("hide", "detach", "pseudonym", "erase")
+CRITERIA = {
+    "not shown": "1111",
+    "not found by name": "0111",
+    "not linked to other data": "0001",
+    "aggregates kept": "1110",
+    "audit history kept": "1110",
+    "histories of others kept": "1110",
+    "reversible": "1010",
+    "gone from backups": "0001",
+}
+
+
+def deletion_matrix(spark) -> DataFrame:
+    """(level, criterion, met): what each level of deletion satisfies and breaks."""
+    rows = [(level, c, flags[i] == "1") for c, flags in CRITERIA.items() for i, level in enumerate(LEVELS)]
+    return spark.createDataFrame(rows, "level string, criterion string, met boolean")
+
+
+def deletion_scores(deletions: DataFrame) -> DataFrame:
+    """deletions (level, ...) with `met`, the number of criteria that their level satisfies; an unknown level meets none."""
+    score = deletion_matrix(deletions.sparkSession).groupBy("level").agg(F.count_if("met").alias("met"))
+    return deletions.join(F.broadcast(score), "level", "left").withColumn("met", F.coalesce("met", F.lit(0)))  # four rows
+
+
+def extraction_growth(facts: DataFrame, keys: list[str], identity: list[str], order: str, wrong) -> DataFrame:
+    """Running counts by key in `order`: nodes (first sightings of `identity`), edges (facts), duplicates (sightings after the first), wrong."""
+    fresh = F.when(F.row_number().over(Window.partitionBy(*keys, *identity).orderBy(order)) == 1, 1).otherwise(0)
+    w = Window.partitionBy(*keys).orderBy(order)
+    out = facts.withColumn("__fresh", fresh).withColumn("__wrong", F.when(wrong, 1).otherwise(0))
+    return out.select(order, F.sum("__fresh").over(w).alias("nodes"), F.row_number().over(w).cast("long").alias("edges"), F.sum(1 - F.col("__fresh")).over(w).alias("duplicates"), F.sum("__wrong").over(w).alias("wrong"))

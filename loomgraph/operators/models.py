@@ -75,3 +75,48 @@ def monthly_cost(df: DataFrame, calls: str, unit: str) -> DataFrame:
 
 def context_cost(facts: Column, tokens_each: float, price_per_1000: float) -> Column:
     return facts * tokens_each * price_per_1000 / 1000
+
+
+def topologies(docs: Column, parallel: Column, read: tuple[float, float] = (900.0, 2400.0), write: tuple[float, float] = (1800.0, 3200.0), check: tuple[float, float] = (700.0, 1100.0), route: tuple[float, float] = (300.0, 400.0)) -> Column:
+    """array of struct(shape, ms, tokens, messages) of one job, reading `docs` texts and writing a report, on six shapes of agents.
+
+    Each step is (milliseconds, tokens). pipeline: one after the other; star: a router deals readers in waves; tree: as star, one
+    merge a wave besides; mesh: readers in waves, and all pairs exchange what they read; debate: two writers and a judge; loop: a check after
+    the report and one rewrite.
+    """
+    waves, n = F.ceil(docs / parallel), docs
+    shape = lambda name, ms, tokens, messages: F.struct(F.lit(name).alias("shape"), ms.cast("double").alias("ms"), tokens.cast("double").alias("tokens"), messages.cast("long").alias("messages"))
+    base = n * read[1] + write[1]
+    return F.array(
+        shape("pipeline", n * read[0] + write[0], base, n),
+        shape("star", route[0] + waves * read[0] + write[0], base + route[1], 2 * n),
+        shape("tree", route[0] + waves * (read[0] + check[0]) + write[0], base + route[1] + waves * check[1], 2 * n + waves),
+        shape("mesh", waves * read[0] + (n - 1) * route[0] + write[0], base + n * (n - 1) * route[1], n * (n - 1)),
+        shape("debate", waves * read[0] + 2 * write[0] + check[0], base + write[1] + 2 * check[1], n + 4),
+        shape("loop", n * read[0] + 2 * write[0] + 2 * check[0], base + write[1] + 2 * check[1], n + 3),
+    )
+
+
+def expansion_stop(sizes: Column, budget: Column) -> Column:
+    """Last hop whose running total of frontier sizes stays within the budget; -1 if not even the first does."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-1).alias("hop"), F.lit(True).alias("open"))
+
+    def step(s: Column, size: Column) -> Column:
+        total = s["total"] + size
+        fits = s["open"] & (total <= budget)
+        return F.struct(total.alias("total"), (s["hop"] + F.when(fits, 1).otherwise(0)).alias("hop"), fits.alias("open"))
+
+    return F.aggregate(sizes, start, step, lambda s: s["hop"])
+
+
+def forced_route(kind: Column, routed_to: Column, cost: dict[str, float], quality: dict[tuple[str, str], float]) -> tuple[Column, Column]:
+    """(cost, quality) of answering questions of a kind with the engine that they were sent to, right or wrong."""
+    price = F.create_map(*[F.lit(x) for kv in cost.items() for x in kv])
+    worth = F.create_map(*[F.lit(x) for (k, e), q in quality.items() for x in (f"{k}/{e}", q)])
+    return F.element_at(price, routed_to), F.coalesce(F.try_element_at(worth, F.concat_ws("/", kind, routed_to)), F.lit(0.0))
+
+
+def incremental_cost(changed: Column, total: Column, each: float, spread: float) -> tuple[Column, Column]:
+    """(incremental, full) cost of an update: what has changed and, for each change, a share `spread` of all else that it touches."""
+    touched = F.least(changed + F.floor(changed * spread * total), total)
+    return touched * each, total * each

@@ -140,6 +140,12 @@ def prefix_budget(df: DataFrame, keys: list[str], order: list[str], want: str, t
     return df.withColumn("granted", F.greatest(F.lit(0), F.least(F.col(want), total - used)))
 
 
+def even_budget(df: DataFrame, keys: list[str], want: str, total: Column) -> DataFrame:
+    """`granted`: every row the same whole share of the total, no more than it wants; what others leave is not dealt again."""
+    share = F.floor(total / F.count("*").over(Window.partitionBy(*keys)))
+    return df.withColumn("granted", F.least(F.col(want), share))
+
+
 def reserve_first(df: DataFrame, keys: list[str], order: list[str], need: str, extra: str, total: Column) -> DataFrame:
     """Every row's need is set aside first; extras are granted in order from what is left."""
     every = Window.partitionBy(*keys)

@@ -39,15 +39,17 @@ def clusters(ids: DataFrame, accepted: DataFrame, id_col: str = "id") -> DataFra
 
 
 def apply_merges(ids: DataFrame, log: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, root) after a log (seq, kept, dropped, undone): a pointer table from merges that stand, then pointer jumping."""
+    """(id, root) after a log (seq, kept, dropped, undone): a pointer table from merges that stand, then pointer jumping: log2 of the
+    longest chain of merges rounds. Merges that lead in a circle are an error."""
     last = log.groupBy("dropped").agg(F.max_by(F.struct("kept", "undone"), "seq").alias("l")).where("not l.undone")
     at = materialize(ids.select(F.col(id_col).alias("id")).join(last.select(F.col("dropped").alias("id"), F.col("l.kept").alias("kept")), "id", "left").select("id", F.coalesce("kept", "id").alias("root")), "merge")
-    while True:
+    for _ in range(64):
         hop = at.join(at.select(F.col("id").alias("root"), F.col("root").alias("next")), "root").select("id", F.col("root").alias("old"), F.col("next").alias("root"))
         hop = materialize(hop, "merge")
         if hop.where("old <> root").isEmpty():
             return hop.select("id", "root")
         at = hop.select("id", "root")
+    raise ValueError("the merges that stand lead in a circle")
 
 
 def merged_view(records: DataFrame, roots: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -140,6 +142,36 @@ def retry_buckets(clients: DataFrame, schedule: list[float], width: float = 0.25
     return at.groupBy(F.floor(when / width).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def backoff(kind: str, tries: int, base: float = 0.5, factor: float = 2.0, cap: float = 30.0) -> list[float]:
+    """Seconds before each retry: 'fixed' (base each), 'exponential' (base * factor^k) or 'capped' (the same, `cap` at most)."""
+    if kind not in ("fixed", "exponential", "capped"):
+        raise ValueError(f"unknown schedule {kind}")
+    waits = [base if kind == "fixed" else base * factor**k for k in range(tries)]
+    return [min(w, cap) for w in waits] if kind == "capped" else waits
+
+
+def retry_load(clients: DataFrame, schedules: dict[str, tuple[list[float], bool]], capacity: int, width: float = 0.25) -> DataFrame:
+    """(schedule, bucket, n, over, peak): clients' retries by bucket of `width` seconds since the failure they share, those over
+    capacity, and the schedule's busiest bucket. A jittered schedule scales each wait by a draw in [0, 1) hashed from client and try."""
+    each = []
+    for name, (waits, jitter) in schedules.items():
+        at = clients.select("client", F.posexplode(F.array(*map(F.lit, waits))).alias("k", "wait"))
+        draw = F.pmod(F.xxhash64(F.lit(name), F.col("client").cast("long"), "k"), F.lit(1_000_003)) / 1_000_003.0
+        before = Window.partitionBy("client").orderBy("k")
+        moment = F.sum(F.col("wait") * draw if jitter else F.col("wait")).over(before)
+        each.append(at.select(F.lit(name).alias("schedule"), F.floor(moment / width).alias("bucket")))
+    counts = reduce(DataFrame.union, each).groupBy("schedule", "bucket").agg(F.count("*").alias("n"))
+    return counts.withColumn("over", F.greatest(F.col("n") - capacity, F.lit(0))).withColumn("peak", F.max("n").over(Window.partitionBy("schedule")))
+
+
+def compensate(steps: DataFrame, undo_fails: Column, max_tries: int = 3) -> DataFrame:
+    """saga() rows with what becomes of an undo: `undo_fails` is how often it fails first. Within max_tries it is 'compensated' on that try,
+    beyond it goes to the 'queue' for people, as do irreversible steps; all other rows are 'none'."""
+    tries = F.least(undo_fails + 1, F.lit(max_tries)).cast("int")
+    outcome = F.when(F.col("action") == "stuck", "queue").when(F.col("action") != "undone", "none").when(undo_fails < max_tries, "compensated").otherwise("queue")
+    return steps.withColumn("undo_tries", F.when(F.col("action") == "undone", tries).otherwise(0)).withColumn("outcome", outcome)
+
+
 def saga(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, step, action) of steps (ok, reversible): 'done' if nothing fails; after a failure 'undone' for those before it, 'failed',
     'stuck' for irreversible ones before it, 'skipped' after it."""

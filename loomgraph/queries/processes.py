@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 
 from pyspark.sql import functions as F
@@ -82,6 +83,32 @@ def retry_buckets(spark, d):
     return W.retry_buckets(t(spark, d, "customer").select(F.col("c_custkey").alias("client")), [0.5, 1.0, 2.0, 4.0])
 
 
+@query("""WITH w(schedule, wait) AS (VALUES ('fixed', 0.5), ('fixed', 1.0), ('fixed', 1.5), ('fixed', 2.0), ('exponential', 0.5), ('exponential', 1.5), ('exponential', 3.5), ('exponential', 7.5), ('capped', 0.5), ('capped', 1.5), ('capped', 3.0), ('capped', 4.5)),
+n AS (SELECT schedule, CAST(floor(wait / 0.25) AS BIGINT) AS bucket, count(*) AS n FROM customer, w GROUP BY 1, 2) SELECT schedule, bucket, n, greatest(n - 100, 0) AS over, max(n) OVER (PARTITION BY schedule) AS peak FROM n""")
+def retry_schedules(spark, d):
+    """Fixed, exponential and capped waits without jitter: all clients come back at once."""
+    schedules = {"fixed": (W.backoff("fixed", 4), False), "exponential": (W.backoff("exponential", 4), False), "capped": (W.backoff("capped", 4, cap=1.5), False)}
+    return W.retry_load(t(spark, d, "customer").select(F.col("c_custkey").alias("client")), schedules, capacity=100)
+
+
+@query("SELECT 'jittered' AS schedule, 4 * count(*) AS retries, true AS flatter FROM customer")
+def retry_jitter(spark, d):
+    """With jitter the same retries spread: none is lost, and the busiest bucket is below that of the plain schedule."""
+    clients = t(spark, d, "customer").select(F.col("c_custkey").alias("client"))
+    load = W.retry_load(clients, {"plain": (W.backoff("exponential", 4), False), "jittered": (W.backoff("exponential", 4), True)}, capacity=100)
+    per = load.groupBy("schedule").agg(F.sum("n").alias("retries"), F.max("peak").alias("peak"))
+    plain = per.where("schedule = 'plain'").select(F.col("peak").alias("plain_peak"))
+    return per.where("schedule = 'jittered'").join(F.broadcast(plain)).select("schedule", "retries", (F.col("peak") < F.col("plain_peak")).alias("flatter"))  # one row each
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus <> 'P' AS ok, o_orderpriority <> '5-LOW' AS rev, o_orderkey % 5 AS fails, min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS f FROM orders),
+a AS (SELECT *, CASE WHEN f IS NULL THEN 'done' WHEN o_orderkey < f AND rev THEN 'undone' WHEN o_orderkey < f THEN 'stuck' WHEN o_orderkey = f THEN 'failed' ELSE 'skipped' END AS action FROM s)
+SELECT o_orderkey, action, CAST(CASE WHEN action = 'undone' THEN least(fails + 1, 3) ELSE 0 END AS INTEGER) AS undo_tries, CASE WHEN action = 'stuck' THEN 'queue' WHEN action <> 'undone' THEN 'none' WHEN fails < 3 THEN 'compensated' ELSE 'queue' END AS outcome FROM a""")
+def compensation_queue(spark, d):
+    s = t(spark, d, "orders").withColumns({"ok": F.col("o_orderstatus") != "P", "reversible": F.col("o_orderpriority") != "5-LOW"})
+    return W.compensate(W.saga(s, ["o_custkey"], "o_orderkey"), F.col("o_orderkey") % 5).select("o_orderkey", "action", "undo_tries", "outcome")
+
+
 @query("""WITH s AS (SELECT o_custkey, o_orderkey, o_orderstatus <> 'P' AS ok, o_orderpriority <> '5-LOW' AS rev, min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS f FROM orders)
 SELECT o_orderkey, CASE WHEN f IS NULL THEN 'done' WHEN o_orderkey < f AND rev THEN 'undone' WHEN o_orderkey < f THEN 'stuck' WHEN o_orderkey = f THEN 'failed' ELSE 'skipped' END AS action FROM s""")
 def saga(spark, d):
@@ -155,16 +182,42 @@ def router_trade_off(spark, d):
     return spark.range(5, 11).select(a.alias("accuracy"), F.round(c, 6).alias("cost"), F.round(q, 6).alias("quality"))
 
 
-@query("SELECT 1 AS gen, round(power(0.6, 1.1) / (power(0.6, 1.1) + power(0.4, 1.1)), 9) AS top")
+@query("""WITH RECURSIVE c AS (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT seg, n / (sum(n) OVER ()) AS h FROM c),
+g(gen, seg, h, p) AS (SELECT 0, seg, CAST(h AS DOUBLE), CAST(h AS DOUBLE) FROM s UNION ALL SELECT gen + 1, seg, h, 0.9 * power(p, 1.1) / sum(power(p, 1.1)) OVER () + 0.1 * h FROM g WHERE gen < 5)
+SELECT gen, seg, round(p, 9) AS share FROM g""")
 def drift(spark, d):
-    s = F.array(F.lit(0.6), F.lit(0.4))
-    return spark.range(1).select(F.lit(1).alias("gen"), F.round(M.drift(s, 0.0, s, 1)[0], 9).alias("top"))
+    """Shares of the customer segments over five generations that learn from their own output and a tenth of human data."""
+    c = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"))
+    s = c.agg(F.array_sort(F.collect_list(F.struct("seg", "n"))).alias("all"), F.sum("n").alias("total"))  # a handful of segments
+    s = s.select(F.transform("all", lambda x: x["seg"]).alias("segs"), F.transform("all", lambda x: x["n"] / F.col("total")).alias("start"))
+    gens = [s.select("segs", F.lit(k).alias("gen"), (M.drift(F.col("start"), 0.1, F.col("start"), k) if k else F.col("start")).alias("p")) for k in range(6)]
+    out = reduce(lambda a, b: a.union(b), gens)
+    return out.select("gen", F.posexplode("p").alias("k", "share"), "segs").select("gen", F.get("segs", F.col("k")).alias("seg"), F.round("share", 9).alias("share"))
 
 
-@query("SELECT * FROM (VALUES (0, 1), (1, 6), (2, 36), (3, 216), (4, 1296)) v(hop, size)")
+@query("""WITH RECURSIVE n AS (SELECT c_nationkey, count(*) AS degree FROM customer GROUP BY 1), r(c_nationkey, degree, hop, size, total) AS (SELECT c_nationkey, degree, 0, CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM n UNION ALL SELECT c_nationkey, degree, hop + 1, CAST(floor(size * degree * 0.5) AS BIGINT), total + CAST(floor(size * degree * 0.5) AS BIGINT) FROM r WHERE hop < 4)
+SELECT c_nationkey, CAST(max(CASE WHEN total <= 5000 THEN hop END) AS INTEGER) AS last_hop, max(CASE WHEN total <= 5000 THEN total END) AS visited FROM r GROUP BY 1""")
 def expansion_budget(spark, d):
-    sizes = M.expansion(F.lit(1), F.lit(12), F.lit(0.5), 4)
-    return spark.range(1).select(F.posexplode(sizes).alias("hop", "size"))
+    """How many hops each nation's expansion may take before it visits more than 5,000 nodes."""
+    n = t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("degree"))
+    sizes = n.withColumn("sizes", M.expansion(F.lit(1), F.col("degree"), F.lit(0.5), 4))
+    last = sizes.withColumn("last_hop", M.expansion_stop(F.col("sizes"), F.lit(5000)))
+    visited = F.aggregate(F.slice("sizes", 1, F.col("last_hop") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    return last.select("c_nationkey", "last_hop", visited.alias("visited"))
+
+
+@query("""WITH d AS (SELECT source, count(*) AS n, ceil(count(*) / 4.0) AS w FROM documents GROUP BY 1), b AS (SELECT *, n * 2400 + 3200 AS base FROM d)
+SELECT source, shape, CAST(ms AS DOUBLE) AS ms, CAST(tokens AS DOUBLE) AS tokens, CAST(messages AS BIGINT) AS messages FROM (
+SELECT source, 'pipeline' AS shape, n * 900 + 1800 AS ms, base AS tokens, n AS messages FROM b
+UNION ALL SELECT source, 'star', 300 + w * 900 + 1800, base + 400, 2 * n FROM b
+UNION ALL SELECT source, 'tree', 300 + w * 1600 + 1800, base + 400 + w * 1100, 2 * n + w FROM b
+UNION ALL SELECT source, 'mesh', w * 900 + (n - 1) * 300 + 1800, base + n * (n - 1) * 400, n * (n - 1) FROM b
+UNION ALL SELECT source, 'debate', w * 900 + 3600 + 700, base + 3200 + 2200, n + 4 FROM b
+UNION ALL SELECT source, 'loop', n * 900 + 3600 + 1400, base + 3200 + 2200, n + 3 FROM b)""")
+def topologies(spark, d):
+    """One report a source from its documents, on six shapes of agents."""
+    n = t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return n.select("source", F.explode(M.topologies(F.col("n"), F.lit(4))).alias("x")).select("source", "x.shape", "x.ms", "x.tokens", "x.messages")
 
 
 @query("SELECT name, round(ms, 6) AS ms FROM (VALUES ('joined', 936.6), ('split', 89.6), ('hybrid', 172.9)) v(name, ms)")
@@ -365,6 +418,36 @@ def tool_functions(spark, d):
     return spark.sql("SELECT * FROM team_members(:team)", args={"team": c.agg(F.min("c_mktsegment")).first()[0]})
 
 
+@query("WITH RECURSIVE r(level, id) AS (SELECT 0, max(c_custkey) FROM customer UNION ALL SELECT level + 1, id // 10 FROM r WHERE id // 10 > 0) SELECT level, CAST(id AS VARCHAR) AS id, c_name AS name FROM r JOIN customer ON c_custkey = id")
+def chain_of_command(spark, d):
+    c = t(spark, d, "customer")
+    boss = F.when(F.col("c_custkey") >= 10, F.floor(F.col("c_custkey") / 10).cast("string"))
+    SR.register_tools(spark, c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("team"), boss.alias("boss")))
+    return spark.sql("SELECT * FROM chain_of_command(:who)", args={"who": str(c.agg(F.max("c_custkey")).first()[0])})
+
+
+@query("SELECT * FROM (VALUES ('chain_of_command', 'whose', 'STRING'), ('find_person', 'who', 'STRING'), ('team_members', 'which', 'STRING')) v(tool, parameter, type)")
+def tool_discovery(spark, d):
+    """What a client learns of the tools before it calls one."""
+    chain_of_command(spark, d)
+    return SR.tool_schemas(spark)
+
+
+@query("SELECT kind, 2500 AS at_least, true AS in_range FROM (VALUES ('a'), ('b'), ('c')) v(kind)")
+def random_rows(spark, d):
+    """Ten thousand drawn rows: each of three kinds about equally often, all numbers in their range."""
+    r = SR.random_rows(spark, 10_000, {"kind": ["a", "b", "c"], "age": (18, 80)})
+    return r.groupBy("kind").agg(F.when(F.count("*") >= 2500, 2500).otherwise(F.count("*")).cast("int").alias("at_least"), ((F.min("age") >= 18) & (F.max("age") < 80)).alias("in_range"))
+
+
+@query("SELECT 5997 AS links, true AS earlier, true AS skewed")
+def preferential_graph(spark, d):
+    """2,000 nodes of three links each, all to earlier nodes; the busiest node has far more than the mean of six."""
+    e = SR.preferential_graph(spark, 2000, 3)
+    deg = e.select(F.col("src").alias("n")).union(e.select("dst")).groupBy("n").agg(F.count("*").alias("deg"))
+    return e.agg(F.count("*").cast("int").alias("links"), F.every(F.col("dst") < F.col("src")).alias("earlier")).join(F.broadcast(deg.agg((F.max("deg") > 40).alias("skewed"))))  # one row each
+
+
 @query("SELECT event_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band FROM events")
 def column_extension(spark, d):
     band = FX.column_function("band")(lambda c: F.when(c > 50, "high").otherwise("low"))

@@ -9,12 +9,14 @@ from loomgraph.functions import scalars as S
 from loomgraph.operators import concurrency as C
 from loomgraph.operators import events as E
 from loomgraph.operators import lineage as L
+from loomgraph.operators import models as M
 from loomgraph.operators import relational as R
 from loomgraph.operators import resolve as X
 from loomgraph.operators import retrieval as Q
 from loomgraph.operators import temporal as TM
 from loomgraph.operators import validate as V
 from loomgraph.queries.base import SQL_SUPPLIERS, both_ways, g_suppliers, query, t
+from loomgraph.storage import materialize
 
 # TMP ----------------------------------------------------------------------------------------------------------------
 SQL_FACTS = """f AS (SELECT CAST(o_custkey AS VARCHAR) AS s, 'status' AS p, o_orderstatus AS value, CAST(o_orderdate AS DATE) AS valid_from,
@@ -37,21 +39,21 @@ def bitemporal_as_of(spark, d):
     return TM.as_of(order_facts(spark, d), "1996-01-01", "1996-01-10").select("s", "value", "valid_from")
 
 
-@query(f"""WITH {SQL_FACTS}, h AS (SELECT * FROM f WHERE s = '7'), x AS (SELECT *, tx_to = DATE '9999-12-31' AND valid_from < DATE '1997-01-01' AND DATE '1997-01-01' < valid_to AS hit FROM h)
-SELECT value, valid_from, valid_to, tx_from, CASE WHEN hit THEN DATE '1999-01-01' ELSE tx_to END AS tx_to FROM x
-UNION ALL SELECT value, valid_from, DATE '1997-01-01', DATE '1999-01-01', DATE '9999-12-31' FROM x WHERE hit
-UNION ALL SELECT 'X', DATE '1997-01-01', DATE '9999-12-31', DATE '1999-01-01', DATE '9999-12-31'""")
+@query(f"""WITH {SQL_FACTS}, x AS (SELECT *, s = '7' AND tx_to = DATE '9999-12-31' AND valid_from < DATE '1997-01-01' AND DATE '1997-01-01' < valid_to AS hit FROM f)
+SELECT s, value, valid_from, valid_to, tx_from, CASE WHEN hit THEN DATE '1999-01-01' ELSE tx_to END AS tx_to FROM x
+UNION ALL SELECT s, value, valid_from, DATE '1997-01-01', DATE '1999-01-01', DATE '9999-12-31' FROM x WHERE hit
+UNION ALL SELECT '7', 'X', DATE '1997-01-01', DATE '9999-12-31', DATE '1999-01-01', DATE '9999-12-31'""")
 def bitemporal_assert(spark, d):
-    return TM.assert_fact(order_facts(spark, d).where("s = '7'"), "7", "status", "X", "1997-01-01", "1999-01-01").select("value", "valid_from", "valid_to", "tx_from", "tx_to")
+    return TM.assert_fact(order_facts(spark, d), "7", "status", "X", "1997-01-01", "1999-01-01").select("s", "value", "valid_from", "valid_to", "tx_from", "tx_to")
 
 
-@query(f"""WITH {SQL_FACTS}, h AS (SELECT * FROM f WHERE s = '7'), m AS (SELECT min(valid_from) AS v FROM h)
-SELECT value, valid_from, valid_to, tx_from, CASE WHEN valid_from = v AND tx_to = DATE '9999-12-31' THEN DATE '1999-01-01' ELSE tx_to END AS tx_to FROM h, m
-UNION ALL SELECT 'Y', v, DATE '9999-12-31', DATE '1999-01-01', DATE '9999-12-31' FROM m""")
+@query(f"""WITH {SQL_FACTS}, m AS (SELECT min(valid_from) AS v FROM f WHERE s = '7')
+SELECT s, value, valid_from, valid_to, tx_from, CASE WHEN s = '7' AND valid_from = v AND tx_to = DATE '9999-12-31' THEN DATE '1999-01-01' ELSE tx_to END AS tx_to FROM f, m
+UNION ALL SELECT '7', 'Y', v, DATE '9999-12-31', DATE '1999-01-01', DATE '9999-12-31' FROM m""")
 def bitemporal_correct(spark, d):
-    f = order_facts(spark, d).where("s = '7'")
-    first = f.agg(F.min("valid_from")).first()[0]
-    return TM.correct(f, "7", "status", "Y", str(first), "1999-01-01").select("value", "valid_from", "valid_to", "tx_from", "tx_to")
+    f = order_facts(spark, d)
+    first = f.where("s = '7'").agg(F.min("valid_from")).first()[0]
+    return TM.correct(f, "7", "status", "Y", str(first), "1999-01-01").select("s", "value", "valid_from", "valid_to", "tx_from", "tx_to")
 
 
 @query(f"WITH {SQL_FACTS} SELECT s, value, tx_from, valid_from FROM f WHERE s IN ('7', '8') AND p = 'status'")
@@ -111,7 +113,7 @@ def replay_to_cut(spark, d):
 @query(f"WITH {SQL_OPS} SELECT user_id, value FROM ev GROUP BY 1, 2 HAVING arg_max(op, seq) = 'add'")
 def snapshot_and_tail(spark, d):
     e = ops(spark, d)
-    snapshot = E.replay(e, ["user_id", "value"], F.col("seq"), F.col("seq") <= 5000)
+    snapshot = E.stored_snapshot(e, ["user_id", "value"], "seq", 5000)
     return E.replay_from_snapshot(snapshot, e.where("seq > 5000"), ["user_id", "value"], "seq")
 
 
@@ -151,12 +153,12 @@ def fold_accumulate(spark, d):
 SQL_HASH = """substr(sha256('[' || seq || ', "' || day || '", "' || actor || '", "' || op || '", ' || payload || ', "' || prev || '"]'), 1, 16)"""
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, strftime(ts, '%Y-%m-%d') AS day, CAST(user_id AS VARCHAR) AS actor, event_type AS op, '{{"k": 1}}' AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id < 20),
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, strftime(ts, '%Y-%m-%d') AS day, CAST(user_id AS VARCHAR) AS actor, event_type AS op, '{{"k": 1}}' AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 c AS (SELECT user_id, n, {SQL_HASH.replace("prev", "''")} AS hash FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, {SQL_HASH.replace("prev", "c.hash")} FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)
 SELECT user_id, count(*) AS links, CAST(0 AS BIGINT) AS faults, arg_max(hash, n) AS head FROM c GROUP BY 1""")
 def hash_chain(spark, d):
-    e = t(spark, d, "events").where("user_id < 20").select("user_id", F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd").alias("at"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("op"), F.lit('{"k": 1}').alias("payload"))
-    chain = E.build_chain(e, ["user_id"])
+    e = t(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd").alias("at"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("op"), F.lit('{"k": 1}').alias("payload"))
+    chain = materialize(E.build_chain(e, ["user_id"]), "chain")
     faults = E.verify_chain(chain, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("f"))
     heads = chain.groupBy("user_id").agg(F.count("*").alias("links"), F.max_by("hash", "seq").alias("head"))
     return heads.join(faults, "user_id", "left").select("user_id", "links", F.coalesce("f", F.lit(0)).alias("faults"), "head")
@@ -234,10 +236,10 @@ def survivorship(spark, d):
 # TXT ----------------------------------------------------------------------------------------------------------------
 @query("""WITH b AS (SELECT item_id AS id, regexp_replace(text, '[^0-9A-Za-z가-힣]', '', 'g') AS s FROM benchmark), g AS (SELECT id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM b WHERE length(s) >= 2), tf AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY 1, 2),
 idf AS (SELECT gram, ln(((SELECT count(*) FROM benchmark) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY 1), w AS (SELECT id, gram, tf * idf AS w FROM tf JOIN idf USING (gram)), n AS (SELECT id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1), v AS (SELECT id, gram, w / n AS w FROM w JOIN n USING (id)),
-s AS (SELECT a.id AS query_id, b.id AS item_id, round(sum(a.w * b.w), 6) AS score FROM v a JOIN v b USING (gram) WHERE a.id % 10 = 0 GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id DESC) AS INTEGER) AS rank FROM s) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 3""")
+s AS (SELECT a.id AS query_id, b.id AS item_id, round(sum(a.w * b.w), 6) AS score FROM v a JOIN v b USING (gram) GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id DESC) AS INTEGER) AS rank FROM s) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 3""")
 def tfidf_top_k(spark, d):
     b = t(spark, d, "benchmark")
-    q = b.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     return Q.tfidf_search(b, "item_id", "text", q, "query_id", "q", 3)
 
 
@@ -346,9 +348,9 @@ def cycle_members(spark, d):
     return V.nodes_in_cycles(e)
 
 
-@query("SELECT 'gone' AS change, p_partkey FROM part WHERE p_size > 40 AND p_type LIKE '%E%' EXCEPT SELECT 'gone', p_partkey FROM part WHERE p_size > 40 AND p_type LIKE '%E%' AND p_brand <> 'Brand#11'")
+@query("SELECT 'gone' AS change, p_partkey FROM part WHERE p_type LIKE '%E%' EXCEPT SELECT 'gone', p_partkey FROM part WHERE p_type LIKE '%E%' AND p_brand <> 'Brand#11'")
 def competency_regression(spark, d):
-    p = t(spark, d, "part").where("p_size > 40 and p_type like '%E%'")
+    p = t(spark, d, "part").where("p_type like '%E%'")
     return V.regression_diff(p.select("p_partkey"), p.where("p_brand <> 'Brand#11'").select("p_partkey")).select("change", "p_partkey")
 
 
@@ -429,13 +431,11 @@ def k_anonymity_sweep(spark, d):
     return L.k_anonymity_sweep(c, ["c_nationkey", "c_mktsegment", "band"])
 
 
-@query("""WITH x AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS fresh FROM events WHERE user_id < 30)
-SELECT event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS nodes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS edges FROM x""")
+@query("""WITH x AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS fresh, CASE WHEN value < 5 THEN 1 ELSE 0 END AS bad FROM events)
+SELECT event_id, CAST(sum(fresh) OVER w AS BIGINT) AS nodes, row_number() OVER w AS edges, CAST(sum(1 - fresh) OVER w AS BIGINT) AS duplicates, CAST(sum(bad) OVER w AS BIGINT) AS wrong FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def extraction_growth(spark, d):
-    e = t(spark, d, "events").where("user_id < 30")
-    fresh = F.when(F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")) == 1, 1).otherwise(0)
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return e.withColumn("fresh", fresh).select("event_id", F.sum("fresh").over(w).alias("nodes"), F.row_number().over(w).cast("long").alias("edges"))
+    e = t(spark, d, "events").withColumn("bad", F.col("value") < 5)
+    return L.extraction_growth(e, ["user_id"], ["event_type"], "event_id", F.col("bad"))
 
 
 # CON ----------------------------------------------------------------------------------------------------------------
@@ -479,6 +479,32 @@ def lock_cost_curve(spark, d):
     return p.select("p", F.round(C.expected_tries(F.col("p")), 9).alias("tries"))
 
 
+@query("""WITH c AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1), p AS (SELECT o_custkey, CAST(urgent AS DOUBLE) / n AS p FROM c),
+k AS (SELECT o_custkey, round(p, 9) AS p, round((12 + 1.5) * (1 + p + p * p + p * p * p + p * p * p * p + p * p * p * p * p), 6) AS optimistic, round(12 + 1.5 + 2.2 + 12 * p, 6) AS pessimistic FROM p)
+SELECT *, CASE WHEN optimistic <= pessimistic THEN 'optimistic' ELSE 'pessimistic' END AS cheaper FROM k""")
+def lock_crossover(spark, d):
+    """Each customer's rate of urgent orders as its conflict rate: which lock costs less."""
+    c = t(spark, d, "orders").groupBy("o_custkey").agg((F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double") / F.count("*")).alias("p"))
+    optimistic, pessimistic = (F.round(x, 6) for x in C.lock_costs(F.col("p"), hold=12.0, write=1.5, lock=2.2))
+    return c.select("o_custkey", F.round("p", 9).alias("p"), optimistic.alias("optimistic"), pessimistic.alias("pessimistic")).withColumn("cheaper", F.when(F.col("optimistic") <= F.col("pessimistic"), "optimistic").otherwise("pessimistic"))
+
+
+@query("SELECT phase, sum(CASE WHEN old_ok THEN 1 ELSE 0 END) AS old_readers, sum(CASE WHEN new_ok THEN 1 ELSE 0 END) AS new_readers, count(*) AS readers FROM (SELECT phase, o_orderpriority <> '5-LOW' AND phase <> 'contract' AS old_ok, o_orderpriority = '5-LOW' AND phase IN ('copy', 'contract') AS new_ok FROM orders, (VALUES ('start'), ('expand'), ('copy'), ('contract')) v(phase)) GROUP BY 1")
+def rename_readers(spark, d):
+    """Readers of the old and of the new name that each phase of a rename still serves."""
+    readers = t(spark, d, "orders").select(F.when(F.col("o_orderpriority") == "5-LOW", "new").otherwise("old").alias("reads"))
+    return C.readers_served(readers, "reads")
+
+
+@query("SELECT p_type, count(*) AS items, count(*) FILTER (level = 'hide') AS hide, count(*) FILTER (level = 'detach') AS detach, count(*) FILTER (level = 'pseudonym') AS pseudonym, count(*) FILTER (level = 'erase') AS erase, CAST(sum(CASE level WHEN 'hide' THEN 5 WHEN 'detach' THEN 5 WHEN 'pseudonym' THEN 6 ELSE 4 END) AS BIGINT) AS met FROM (SELECT p_type, CASE p_size % 4 WHEN 0 THEN 'hide' WHEN 1 THEN 'detach' WHEN 2 THEN 'pseudonym' ELSE 'erase' END AS level FROM part) GROUP BY 1")
+def deletion_levels(spark, d):
+    """Parts deleted at four levels: how many of the criteria each type's deletions meet."""
+    level = F.element_at(F.array(*map(F.lit, L.LEVELS)), (F.col("p_size") % 4 + 1).cast("int"))
+    scored = L.deletion_scores(t(spark, d, "part").select("p_type", level.alias("level")))
+    counts = [F.count_if(F.col("level") == x).alias(x) for x in L.LEVELS]
+    return scored.groupBy("p_type").agg(F.count("*").alias("items"), *counts, F.sum("met").cast("long").alias("met"))
+
+
 @query("""WITH c AS (SELECT event_id AS seq, user_id AS s, event_type AS k, CAST(floor(value) AS BIGINT) % 3 AS o, value / 100 AS conf FROM events), e AS (SELECT *, CASE WHEN conf < 0.65 THEN 'confidence' WHEN k NOT IN ('click', 'view', 'purchase') THEN 'schema' END AS early FROM c),
 f AS (SELECT *, first_value(o) OVER (PARTITION BY s, k, early IS NULL ORDER BY seq) AS first_o, row_number() OVER (PARTITION BY s, k, o, early IS NULL ORDER BY seq) AS nth FROM e)
 SELECT seq, CASE WHEN early IS NOT NULL THEN early WHEN k = 'purchase' AND o <> first_o THEN 'single-value' WHEN nth > 1 THEN 'duplicate' ELSE 'written' END AS outcome FROM f""")
@@ -506,3 +532,33 @@ def dual_read(spark, d):
 def migration_gates(spark, d):
     gates = spark.createDataFrame([(1, "expand", True), (2, "dual-read", False), (3, "contract", False)], "phase int, name string, passed boolean")
     return C.first_blocked(gates)
+
+
+# costs of answering ---------------------------------------------------------------------------------------------------
+@query("""WITH q AS (SELECT conv_id, turn, CASE WHEN length(text) < 60 THEN 'fact' WHEN length(text) < 200 THEN 'hop' ELSE 'global' END AS kind FROM conversations), r AS (SELECT *, CASE WHEN turn % 3 = 0 THEN 'fact' ELSE kind END AS sent FROM q)
+SELECT kind, sent, count(*) AS n, CAST(sum(CASE sent WHEN 'fact' THEN 1.0 WHEN 'hop' THEN 4.0 ELSE 20.0 END) AS DOUBLE) AS cost, round(avg(CASE WHEN kind = sent THEN 0.9 WHEN sent = 'global' THEN 0.7 ELSE 0.2 END), 9) AS quality FROM r GROUP BY 1, 2""")
+def forced_misroute(spark, d):
+    """Turns as questions, each third one sent to the cheapest engine whatever its kind."""
+    n = F.length("text")
+    q = t(spark, d, "conversations").withColumn("kind", F.when(n < 60, "fact").when(n < 200, "hop").otherwise("global"))
+    q = q.withColumn("sent", F.when(F.col("turn") % 3 == 0, "fact").otherwise(F.col("kind")))
+    kinds = ("fact", "hop", "global")
+    quality = {(k, e): 0.9 if k == e else 0.7 if e == "global" else 0.2 for k in kinds for e in kinds}
+    cost, good = M.forced_route(F.col("kind"), F.col("sent"), {"fact": 1.0, "hop": 4.0, "global": 20.0}, quality)
+    return q.groupBy("kind", "sent").agg(F.count("*").alias("n"), F.sum(cost).alias("cost"), F.round(F.avg(good), 9).alias("quality"))
+
+
+@query("""WITH m AS (SELECT source, count(*) AS total, count(*) FILTER (doc_id % 20 = 0) AS changed FROM documents GROUP BY 1)
+SELECT source, total, changed, round(least(changed + floor(changed * 0.01 * total), total) * 2.5, 6) AS incremental, round(total * 2.5, 6) AS rebuilt FROM m""")
+def update_costs(spark, d):
+    """An update of each source's index: what changed and what that touches, against building it anew."""
+    m = t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("doc_id") % 20 == 0).alias("changed"))
+    some, every = M.incremental_cost(F.col("changed"), F.col("total"), 2.5, 0.01)
+    return m.select("source", "total", "changed", F.round(some, 6).alias("incremental"), F.round(every, 6).alias("rebuilt"))
+
+
+@query("""WITH g AS (SELECT c_custkey, c_mktsegment, c_name FROM customer), x AS (SELECT c_custkey, c_name AS a, c_mktsegment AS b FROM g), y AS (SELECT c_custkey, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS p, list_distinct(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) AS q FROM x)
+SELECT c_custkey, round(CAST(len(list_intersect(p, q)) AS DOUBLE) / len(list_distinct(list_concat(p, q))), 9) AS score FROM y""")
+def bigram_similarity(spark, d):
+    """Names against segments: Jaccard of character bigrams."""
+    return t(spark, d, "customer").select("c_custkey", F.round(S.bigram_jaccard(F.col("c_name"), F.col("c_mktsegment")), 9).alias("score"))

@@ -325,6 +325,18 @@ def budget_prefix(spark, d):
     return R.prefix_budget(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "p", F.lit(1_000_000).cast("long")).select("o_orderkey", F.col("granted").cast("long").alias("granted"))
 
 
+@query("""SELECT o_orderkey, CAST(least(p, floor(1000000 / n)) AS BIGINT) AS granted FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS p, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)""")
+def budget_even(spark, d):
+    o = t(spark, d, "orders").withColumn("p", F.floor("o_totalprice").cast("long"))
+    return R.even_budget(o, ["o_custkey"], "p", F.lit(1_000_000).cast("long")).select("o_orderkey", F.col("granted").cast("long").alias("granted"))
+
+
+@query("""SELECT o_orderkey, CAST(1000 + greatest(0, least(p, 1000000 - 1000 * n - before)) AS BIGINT) AS granted FROM (SELECT o_orderkey, p, count(*) OVER (PARTITION BY o_custkey) AS n, coalesce(sum(p) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders))""")
+def budget_reserve_first(spark, d):
+    o = t(spark, d, "orders").withColumn("p", F.floor("o_totalprice").cast("long")).withColumn("need", F.lit(1000).cast("long"))
+    return R.reserve_first(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "need", "p", F.lit(1_000_000).cast("long")).select("o_orderkey", F.col("granted").cast("long").alias("granted"))
+
+
 @query("SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS reserve FROM conversations")
 def timeout_reserve(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)

@@ -122,15 +122,23 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, TRIPLE)
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Line-based triples, split by Spark and parsed by one expression: the form for large inputs."""
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Line-based triples (s, p, o, o_kind, o_datatype, o_lang), split by Spark and parsed by one expression: the form for large inputs.
+
+    Escapes in literals are resolved, language tags kept in o_lang. Blank lines and comments are passed over; any other line that is no triple
+    fails the read, or with strict=False is left out.
+    """
     line = F.col("value")
-    pattern = r'^\s*(<[^>]*>|_:\w+)\s+<([^>]*)>\s+(<[^>]*>|_:\w+|"(?:[^"\\]|\\.)*")(?:\^\^<([^>]*)>|@[\w-]+)?\s*\.'
+    pattern = r'^\s*(<[^>]*>|_:\w+)\s+<([^>]*)>\s+(<[^>]*>|_:\w+|"(?:[^"\\]|\\.)*")(?:\^\^<([^>]*)>|@([\w-]+))?\s*\.'
     part = lambda i: F.regexp_extract(line, pattern, i)
     o = part(3)
     kind = F.when(o.startswith("<"), "iri").when(o.startswith("_:"), "bnode").otherwise("literal")
-    rows = spark.read.text(path).where(line.rlike(pattern))
-    return rows.select(F.regexp_replace(part(1), "[<>]", "").alias("s"), part(2).alias("p"), F.regexp_replace(o, '^[<"]|[>"]$', "").alias("o"), kind.alias("o_kind"), F.when(kind == "literal", F.coalesce(F.nullif(part(4), F.lit("")), F.lit("xsd:string"))).alias("o_datatype"))
+    broken = F.raise_error(F.concat(F.lit("no triple: "), line)).cast("boolean") if strict else F.lit(False)
+    rows = spark.read.text(path).where(F.when(line.rlike(pattern), True).when(line.rlike(r"^\s*(#.*)?$"), False).otherwise(broken))
+    bare = F.regexp_replace(o, '^[<"]|[>"]$', "")
+    quoted = F.concat(F.lit('{"x":"'), F.replace(bare, F.lit("\\'"), F.lit("'")), F.lit('"}'))  # the same escapes as JSON's, but for one
+    text = F.when(o.contains("\\"), F.coalesce(F.from_json(quoted, "x string")["x"], bare)).otherwise(bare)
+    return rows.select(F.regexp_replace(part(1), "[<>]", "").alias("s"), part(2).alias("p"), text.alias("o"), kind.alias("o_kind"), F.when(part(5) != "", "rdf:langString").when(kind == "literal", F.coalesce(F.nullif(part(4), F.lit("")), F.lit("xsd:string"))).alias("o_datatype"), F.nullif(part(5), F.lit("")).alias("o_lang"))
 
 
 JSON_LD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
@@ -143,13 +151,14 @@ def extract_jsonld(html: Column) -> Column:
 
 def flatten_jsonld(body: str) -> list[tuple[str, str, str]]:
     """(s, p, o) of the JSON-LD objects in a body: @context is left out, @type is the predicate a, lists give a row for each item, nested
-    objects become _:b1, _:b2 .. in the order they open; an object's own name is its url, else its name, else _:root."""
+    objects become _:b1, _:b2 .. in the order they open; values outside of objects give no rows;
+    an object's own name is its url, else its name, else _:root."""
     parsed = json.loads(body)
     roots = parsed if isinstance(parsed, list) else [parsed]
     rows: list[tuple[str, str, str]] = []
     opened = 0
     # A stack of (subject, remaining pairs) keeps document order without recursion, however deep the nesting.
-    stack = [(r.get("url") or r.get("name") or "_:root", iter(_pairs(r))) for r in reversed(roots)]
+    stack = [(r.get("url") or r.get("name") or "_:root", iter(_pairs(r))) for r in reversed(roots) if isinstance(r, dict)]
     while stack:
         subject, pairs = stack[-1]
         pair = next(pairs, None)
@@ -236,12 +245,65 @@ def extractor(docs: DataFrame, answers: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(answers, "doc_id")
 
 
-def register_tools(spark: SparkSession, people: DataFrame) -> None:
-    """SQL table functions over people (id, name, team, boss): find_person(name), team_members(team), chain_of_command(id)."""
+def register_tools(spark: SparkSession, people: DataFrame, max_depth: int = 16) -> None:
+    """SQL table functions over people (id, name, team, boss): find_person(name), team_members(team), chain_of_command(id).
+
+    chain_of_command gives (level, id, name) from the person (level 0) up to the top; it is a join a level, max_depth levels at most (also of a
+    circle of bosses).
+    """
     people.createOrReplaceTempView("tool_people")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION find_person(who STRING) RETURNS TABLE (id STRING, name STRING, team STRING) RETURN SELECT id, name, team FROM tool_people WHERE name = who")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION team_members(which STRING) RETURNS TABLE (id STRING, name STRING) RETURN SELECT id, name FROM tool_people WHERE team = which")
+    ups = [f"SELECT {k} AS level, p{k}.id, p{k}.name FROM tool_people p0 {' '.join(f'JOIN tool_people p{i} ON p{i}.id = p{i - 1}.boss' for i in range(1, k + 1))} WHERE p0.id = whose" for k in range(max_depth)]
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION chain_of_command(whose STRING) RETURNS TABLE (level INT, id STRING, name STRING) RETURN {' UNION ALL '.join(ups)}")
 
 
 def tools(spark: SparkSession) -> list[str]:
     return sorted(f.name for f in spark.catalog.listFunctions() if f.isTemporary)
+
+
+#: The table functions of register_tools() with their one parameter.
+TOOLS = {"chain_of_command": ("whose", "STRING"), "find_person": ("who", "STRING"), "team_members": ("which", "STRING")}
+
+
+def tool_schemas(spark: SparkSession) -> DataFrame:
+    """(tool, parameter, type) of the table functions that this session has, as a client discovers them before it calls one."""
+    rows = [(name, *parameter) for name, parameter in TOOLS.items() if spark.catalog.functionExists(name)]
+    return spark.createDataFrame(rows, "tool string, parameter string, type string")
+
+
+def random_rows(spark: SparkSession, n: int, columns: dict[str, list | tuple], seed: int = 1) -> DataFrame:
+    """n rows (id, columns): a list gives one of its values, a pair of numbers a whole number from the first to before the second.
+
+    Values are drawn from a hash of seed, column and id: the same rows on any partitioning.
+    """
+    def draw(name: str, body):
+        h = F.xxhash64(F.lit(seed), F.lit(name), "id")
+        if isinstance(body, list):
+            return F.element_at(F.array(*map(F.lit, body)), (F.pmod(h, F.lit(len(body))) + 1).cast("int"))
+        low, high = body
+        return F.pmod(h, F.lit(high - low)) + low
+
+    return spark.range(n).select("id", *[draw(k, v).alias(k) for k, v in columns.items()])
+
+
+def preferential_graph(spark: SparkSession, n: int, links: int, seed: int = 1) -> DataFrame:
+    """(src, dst): node k >= 1 links `links` times to earlier nodes, each drawn as an end of an earlier link or, as often, as an earlier node.
+
+    An end of a random earlier link is a node in proportion to its degree. Chains of such draws are followed by joins: a draw names a slot of
+    an earlier node, whose own draw is looked up in turn; half of the draws end each round, and slots always lead to earlier nodes.
+    """
+    from loomgraph.storage import materialize
+
+    h = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "slot")
+    slots = spark.range(links * (n - 1)).select(F.col("id").alias("slot"), (F.floor(F.col("id") / links) + 1).alias("src"))
+    to = F.pmod(h(1), F.col("src"))  # an earlier node
+    copied = F.pmod(h(2), F.greatest((F.col("src") - 1) * links, F.lit(1)))  # a slot of an earlier node
+    s = materialize(slots.select("slot", "src", F.when((F.pmod(h(3), F.lit(2)) == 0) | (F.col("src") == 1), to).alias("dst"), copied.alias("at")), "slots")
+    found, left = s.where("dst is not null").select("slot", "src", "dst"), s.where("dst is null").select("slot", "src", "at")
+    ends = s.select(F.col("slot").alias("at"), F.col("dst").alias("end"), F.col("at").alias("next"))
+    while not left.isEmpty():
+        step = materialize(left.join(ends, "at"), "slots")
+        found = found.union(step.where("end is not null").select("slot", "src", F.col("end").alias("dst")))
+        left = step.where("end is null").select("slot", "src", F.col("next").alias("at"))
+    return found.select("src", "dst")
