@@ -263,3 +263,11 @@ def projection_size(pairs: DataFrame, side: str, via: str) -> DataFrame:
     """Rows that the self-join of project_bipartite would make, known before it is run."""
     deg = pairs.groupBy(via).agg(F.count_distinct(side).cast("long").alias("k"))
     return deg.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("pairs"))
+
+
+def projected_degree(pairs: DataFrame, side: str, via: str) -> DataFrame:
+    """(node, degree): the weighted degree that project_bipartite() would give each `side` node, without making a pair: a node counts
+    the others of each of its `via` nodes. Two aggregates and a join by key; nodes without a partner are left out."""
+    size = pairs.groupBy(F.col(via).alias("v")).agg((F.count("*") - 1).alias("others"))
+    each = pairs.select(F.col(side).alias("node"), F.col(via).alias("v")).join(size.where("others > 0"), "v")
+    return each.groupBy("node").agg(F.sum("others").alias("degree"))

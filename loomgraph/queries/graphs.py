@@ -25,8 +25,7 @@ def sql_bfs(hops: int) -> str:
 
 @query(f"WITH {SQL_COPART} SELECT node, CAST(sum(w) AS BIGINT) AS degree FROM (SELECT a AS node, w FROM cw UNION ALL SELECT b, w FROM cw) GROUP BY 1")
 def coparts_degree(spark, d):
-    w = copart_weights(spark, d)
-    return w.select(F.col("a").alias("node"), "w").union(w.select("b", "w")).groupBy("node").agg(F.sum("w").alias("degree"))
+    return T.projected_degree(t(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")
 
 
 @query(f"WITH {SQL_COPART} SELECT a, b, w FROM cw")
