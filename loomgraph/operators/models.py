@@ -120,3 +120,9 @@ def incremental_cost(changed: Column, total: Column, each: float, spread: float)
     """(incremental, full) cost of an update: what has changed and, for each change, a share `spread` of all else that it touches."""
     touched = F.least(changed + F.floor(changed * spread * total), total)
     return touched * each, total * each
+
+
+def nested_calls(caps: list[Column], budget: Column) -> tuple[Column, Column]:
+    """(calls of loops inside each other, each with a cap; the same under one budget for all)."""
+    product = reduce(lambda a, b: a * b, caps)
+    return product, F.least(product, budget)

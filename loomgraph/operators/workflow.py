@@ -221,8 +221,26 @@ def context_strategies(turns: DataFrame, conv: str, order: str, tokens: str, kee
     return t.groupBy(conv).agg(F.sum(tokens).alias("keep_all"), new.alias("last_n"), F.round(new + ratio * old, 6).alias("summarised"), (new + index_tokens * F.count_if("__old")).alias("offloaded"))
 
 
+def fact_retention(turns: DataFrame, conv: str, order: str, facts: str, keep: int = 15, survival: float = 0.6, seed: int = 1) -> DataFrame:
+    """Facts of each conversation still known by strategy: facts (distinct items of the array column), keep_all, last_n, summarised (older ones
+    survive with a chance, drawn from a hash of seed and fact), offloaded (older ones found through the index)."""
+    age = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(order)))
+    each = turns.withColumn("__old", age > keep).select(conv, "__old", F.explode(facts).alias("__fact"))
+    # A fact told again in a recent turn is known from there.
+    once = each.groupBy(conv, "__fact").agg(F.bool_and("__old").alias("__old"))
+    draw = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), "__fact").cast("binary"), 256), 1, 8), 16, 10).cast("double") / float(16**8)
+    n, new = F.count("*"), F.count_if(~F.col("__old"))
+    return once.groupBy(conv).agg(n.alias("facts"), n.alias("keep_all"), new.alias("last_n"), F.count_if(~F.col("__old") | (draw < survival)).alias("summarised"), n.alias("offloaded"))
+
+
 def tier_cascade(tiers: DataFrame) -> DataFrame:
     """tiers (tier, hit, ms): share of requests that reach each tier (what earlier ones left) and the expected time spent there."""
     before = Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)
     left = 1 - F.coalesce(F.sum("hit").over(before), F.lit(0.0))
     return tiers.withColumn("reached", F.round(left, 9)).withColumn("expected_ms", F.round(left * F.col("ms"), 9))
+
+
+def all_at_once(tiers: DataFrame) -> DataFrame:
+    """One row to set beside tier_cascade(): every request asks all tiers at a time. cascade_ms, together_ms (the slowest), cascade_calls, together_calls."""
+    c = tier_cascade(tiers)
+    return c.agg(F.round(F.sum("expected_ms"), 9).alias("cascade_ms"), F.max("ms").alias("together_ms"), F.round(F.sum("reached"), 9).alias("cascade_calls"), F.count("*").cast("double").alias("together_calls"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import analytics as A
+from loomgraph.operators import models as M
 from loomgraph.operators import traverse as T
 from loomgraph.operators.components import connected_components
 from loomgraph.queries.base import SQL_COPART, SQL_CUSTOMER_PART, SQL_NATIONS, SQL_SUPPLIERS, both_ways, copart_weights, g_customer_part, g_nations, g_suppliers, query, t
@@ -317,6 +318,14 @@ def message_passing(spark, d):
     return A.message_passing(f, e).select("node", F.col("feat")[0].alias("x"), F.col("feat")[1].alias("y"))
 
 
+@query("""WITH k AS (SELECT l_orderkey, count(*) AS lines, count(DISTINCT l_suppkey) AS supps, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) SELECT l_orderkey, lines * supps * parts AS nested, least(lines * supps * parts, 100) AS budgeted FROM k""")
+def nested_caps(spark, d):
+    """Loops inside loops: their caps multiply, unless one budget holds for all."""
+    k = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.count_distinct("l_suppkey").alias("supps"), F.count_distinct("l_partkey").alias("parts"))
+    nested, budgeted = M.nested_calls([F.col("lines"), F.col("supps"), F.col("parts")], F.lit(100))
+    return k.select("l_orderkey", nested.alias("nested"), budgeted.alias("budgeted"))
+
+
 @query("SELECT n, n * (n - 1) // 2 AS mesh, n - 1 AS star, CAST(power(2, n) AS BIGINT) AS paths FROM (SELECT unnest(range(2, 21)) AS n)")
 def message_counts(spark, d):
     return spark.range(2, 21).select(F.col("id").alias("n"), F.floor(F.col("id") * (F.col("id") - 1) / 2).alias("mesh"), (F.col("id") - 1).alias("star"), F.pow(F.lit(2), F.col("id")).cast("long").alias("paths"))

@@ -6,6 +6,7 @@ import uuid
 from functools import reduce
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import extensions as FX
@@ -151,6 +152,25 @@ def context_strategies(spark, d):
     return W.context_strategies(c, "conv_id", "turn", "n", keep=3)
 
 
+@query("""WITH w AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) > 3 AS old, unnest(list_distinct(string_split(text, ' '))) AS fact FROM conversations), o AS (SELECT conv_id, fact, bool_and(old) AS old FROM w WHERE length(fact) > 6 GROUP BY 1, 2)
+SELECT conv_id, count(*) AS facts, count(*) AS keep_all, count(*) FILTER (NOT old) AS last_n, count(*) FILTER (NOT old OR CAST(CAST('0x' || substr(sha256('1|' || fact), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < 0.6) AS summarised, count(*) AS offloaded FROM o GROUP BY 1""")
+def fact_retention(spark, d):
+    """Long words as the facts of a turn."""
+    c = t(spark, d, "conversations").withColumn("facts", F.filter(F.array_distinct(F.split("text", " ")), lambda w: F.length(w) > 6))
+    return W.fact_retention(c, "conv_id", "turn", "facts", keep=3)
+
+
+@query("""WITH h AS (SELECT priority, n / sum(n) OVER () AS hit, row_number() OVER (ORDER BY priority) AS tier FROM (SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1)), r AS (SELECT tier, round(1 - coalesce(sum(hit) OVER (ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS reached, 5.0 * tier * tier AS ms FROM h)
+SELECT round(sum(round(reached * ms, 6)), 4) AS cascade_ms, max(ms) AS together_ms, round(sum(reached), 6) AS cascade_calls, CAST(count(*) AS DOUBLE) AS together_calls FROM r""")
+def cascade_or_together(spark, d):
+    """Order priorities as tiers, each answering its own share: one after the other, or all asked at once."""
+    n = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    every = n.agg(F.sum("n").alias("all")).scalar()
+    tiers = n.select(F.row_number().over(Window.orderBy("o_orderpriority")).alias("tier"), (F.col("n") / every).alias("hit"))
+    out = W.all_at_once(tiers.withColumn("ms", 5.0 * F.col("tier") * F.col("tier")))
+    return out.select(F.round("cascade_ms", 4).alias("cascade_ms"), "together_ms", F.round("cascade_calls", 6).alias("cascade_calls"), "together_calls")
+
+
 @query("SELECT * FROM (VALUES (1, 1.0, 5.0), (2, 0.4, 8.0), (3, 0.1, 30.0)) v(tier, reached, expected_ms)")
 def tier_cascade(spark, d):
     return W.tier_cascade(spark.createDataFrame([(1, 0.6, 5.0), (2, 0.3, 20.0), (3, 0.1, 300.0)], "tier int, hit double, ms double")).select("tier", "reached", "expected_ms")

@@ -311,6 +311,17 @@ def rule_closure(spark, d):
     return V.rule_closure(c.union(s).union(onto), []).where("p = 'a'").select("s", "o").distinct()
 
 
+@query("""WITH RECURSIVE up AS (SELECT n_nationkey AS a, n_nationkey // 2 AS b FROM nation WHERE n_nationkey > 0), r(a, b) AS (SELECT a, b FROM up UNION SELECT r.a, up.b FROM r JOIN up ON up.a = r.b)
+SELECT 'n' || a AS s, 'partOf' AS p, 'n' || b AS o FROM r UNION SELECT 'c' || c_custkey, 'livesIn', 'n' || c_nationkey FROM customer UNION SELECT 'c' || c_custkey, 'a', kind FROM customer, (VALUES ('Person'), ('Agent')) v(kind) UNION SELECT 'n' || c_nationkey, 'a', 'Place' FROM customer""")
+def rule_closure_all_rules(spark, d):
+    """Transitive predicates, subclasses, domain and range at once; a type that nothing implies is not invented."""
+    c, n = t(spark, d, "customer"), t(spark, d, "nation").where("n_nationkey > 0")
+    tr = n.select(F.concat(F.lit("n"), "n_nationkey").alias("s"), F.lit("partOf").alias("p"), F.concat(F.lit("n"), F.floor(F.col("n_nationkey") / 2)).alias("o"))
+    tr = tr.union(c.select(F.concat(F.lit("c"), "c_custkey"), F.lit("livesIn"), F.concat(F.lit("n"), "c_nationkey")))
+    onto = spark.createDataFrame([("livesIn", "domain", "Person"), ("livesIn", "range", "Place"), ("Person", "subClassOf", "Agent")], "s string, p string, o string")
+    return V.rule_closure(tr.union(onto), ["partOf"]).where("p in ('partOf', 'livesIn', 'a')").select("s", "p", "o").distinct()
+
+
 @query("SELECT 'fk' AS rule, l_orderkey AS key, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 2 UNION ALL SELECT 'unique', l_orderkey, n FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)")
 def relational_constraints(spark, d):
     l = t(spark, d, "lineitem")
