@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """Component of every node that has an edge to another: (node, component), component = the smallest node in it.
 
     Nulls and self-loops take no part; repeated and reversed edges count once. Each round every node takes the
-    neighbour (or itself) that comes first in a seeded hash order, and the edges are rewritten to the chosen nodes, so
+    neighbour (or itself) that comes first in a seeded hash order (in the first two rounds: in the order of the nodes), and the edges are rewritten to the chosen nodes, so
     every component shrinks by a constant factor a round whatever its shape; chains don't cost a round per edge and a
     hub's edges become one. Aggregates combine before the shuffle; the joins back are on one row per node, which
     adaptive execution can split when a hub is hot.
@@ -26,7 +26,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if e.isEmpty():
             break
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
-        key = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("id"))
+        # Two rounds go by the numbers themselves: a star around its least node, the usual shape here, is one node then.
+        hash_ = lambda c: F.xxhash64(F.lit(turn), c) if turn > 1 else F.lit(0).cast("long")
+        key = lambda c: F.struct(hash_(c).alias("h"), c.alias("id"))
         to = both.groupBy(F.col("a").alias("node")).agg(F.min(key(F.col("b"))).alias("m"))
         to = to.select("node", F.least(F.col("m"), key(F.col("node"))).getField("id").alias("to"))
         to = materialize(to, "hook")
