@@ -88,8 +88,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: Bytes hashed at a time; only memory depends on it.
-HASH_BLOCK = 1 << 22
+#: Bytes hashed at a time; only memory depends on it: a worker keeps 16 bytes of powers for each, and needs as much again meanwhile.
+HASH_BLOCK = 1 << 16
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -46,6 +46,8 @@ SKETCH_BITS = 256
 MARGIN = 4.5
 #: Buckets above this many classes are tied together whole rather than compared by sketch.
 BUCKET = 2048
+#: Bytes of texts whose shingles are made at a time (one text may exceed that alone).
+SLICE_BYTES = 1_000_000
 #: Texts of a chunk in the exact check, and the shingles that these hold together (one text may exceed that alone).
 CHUNK = 128
 CHUNK_SHINGLES = 2_000_000
@@ -129,7 +131,7 @@ def _sketch_rows(percent: int):
         for batch in batches:
             ids = batch.column(0)
             raw, offsets = text_buffer(batch.column(1))
-            for lo, hi in slices_by_bytes(offsets, 4_000_000):
+            for lo, hi in slices_by_bytes(offsets, SLICE_BYTES):
                 a, b = offsets[lo], offsets[hi]
                 sets = shingle_sets(raw[a:b], offsets[lo : hi + 1] - a)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -292,7 +294,7 @@ def _sets_of(batch):
     """Slices of a batch of (set1, text, ...): row range and, row by row, the shingle set, empty where a repeated doc_id brought another text."""
     set1 = batch.column(0).to_numpy()
     raw, offsets = text_buffer(batch.column(1))
-    for lo, hi in slices_by_bytes(offsets, 2_000_000):
+    for lo, hi in slices_by_bytes(offsets, SLICE_BYTES):
         sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         right = digests(sets)[0] == set1[lo:hi]
         yield lo, hi, [s if r else s[:0] for s, r in zip(sets, right)]
@@ -417,7 +419,7 @@ def _solve(docs: DataFrame, percent: int):
     live = all_.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # a number of its own, fixed once written
-    links = materialize(links_of(classes, docs, percent), "links")
+    links = links_of(classes, docs, percent)
     rows = all_.select("doc_id", "n_shingles", "set1", "set2").join(classes.select("set1", "set2", "n_shingles", "node"), ["set1", "set2", "n_shingles"], "left")
     twice = materialize(all_.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"), "repeated")
     return rows, classes, links, None if twice.isEmpty() else twice
@@ -450,7 +452,7 @@ def _digest_rows(text_at: int):
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffer(batch.column(text_at))
-            for lo, hi in slices_by_bytes(offsets, 4_000_000):
+            for lo, hi in slices_by_bytes(offsets, SLICE_BYTES):
                 sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 part = batch.slice(lo, hi - lo)
                 extra = [*map(pa.array, digests(sets)), pa.array([len(s) for s in sets], pa.int64())]

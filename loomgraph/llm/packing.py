@@ -30,7 +30,9 @@ def _piece_rows(tokenizer: str, end_id: int, limit: int, with_ids: bool):
                     for k, at in enumerate(range(0, len(one), limit)):
                         part = one[at : at + limit].tobytes()
                         who.append(lo + r), piece.append(k), start.append(at), length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part)), salt.append(row), held.append(part)
+                        crc.append(zlib.crc32(part)), salt.append(row)
+                        if with_ids:
+                            held.append(part)
                     row += 1
                 cols = [batch.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from loomgraph.llm import near_dedup as N
 
 
@@ -124,3 +125,15 @@ def test_long_words_hash_alike_in_blocks(monkeypatch):
     whole = common.span_hashes(raw, starts, ends)
     monkeypatch.setattr(common, "HASH_BLOCK", 64)
     assert (common.span_hashes(raw, starts, ends) == whole).all()
+
+
+def test_what_a_worker_keeps_is_bounded():
+    from loomgraph.llm import common
+
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(97, 123, 7, dtype=np.uint8)) for _ in range(4000)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, len(words), 60_000)).decode() for _ in range(10)]
+    run = N._sketch_rows(85)
+    out = pa.Table.from_batches(run(iter([pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert out.num_rows == 10 and out.column("n_shingles").to_pylist() == [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in map(str.split, texts)]
+    assert common._POW.nbytes + common._POW_INV.nbytes <= 4_000_000

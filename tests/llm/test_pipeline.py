@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_near_dedup import brute
@@ -76,3 +77,28 @@ def test_clashing_columns(spark, docs):
         table = stage(spark, table, "unused").cache()
         assert table.columns == [*COLUMNS, *names], name
         assert all(r[n] == f"own {n}" for r in table.select(*names).distinct().collect() for n in names), name
+
+
+def test_python_gets_bounded_batches(spark):
+    from loomgraph.storage import materialize
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    long_ = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('x', 5000) as text")
+    assert max(r.n for r in materialize(long_.mapInArrow(sizes, "n long")).collect()) < 8_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_small_graphs_take_few_tasks(spark):
+    from loomgraph.operators.components import connected_components
+
+    edges = spark.range(0, 300, 1, 30).selectExpr("id as a", "id - id % 10 as b")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = connected_components(edges)
+        assert {(r.node, r.component) for r in found.collect()} == {(i, i - i % 10) for i in range(300)}
+        assert len(found.inputFiles()) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
