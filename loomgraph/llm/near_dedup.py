@@ -365,13 +365,14 @@ def cross_groups(large: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def links_of(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes whose components are those of all true links; classes: node, least (a doc_id that has it), set1, n_shingles, bands, sketch."""
     near = connected_components(proposals(classes.withColumnRenamed("node", "doc_id"), percent)).select("node", F.col("component").alias("near"))
-    near = materialize(near.join(classes.select("node", "least", "set1", "n_shingles"), "node"), "near")
+    rows = classes.count()
+    near = materialize(near.join(classes.select("node", "least", "set1", "n_shingles"), "node"), "near", rows)
     # Sizes are written first: a join straight onto an aggregate would gather a hot component's rows by its key in one task, while
     # a join of two tables can be split or broadcast at run time.
-    size = materialize(near.groupBy("near").agg(_chunks(F.count("*"), F.sum("n_shingles")).alias("chunks")), "sizes")
-    near = materialize(near.join(size, "near"), "near")
+    size = materialize(near.groupBy("near").agg(_chunks(F.count("*"), F.sum("n_shingles")).alias("chunks")), "sizes", rows)
+    near = materialize(near.join(size, "near"), "near", rows)
     # The texts that take part are picked by their numbers alone, a table small enough to be sent along at most sizes.
-    texts = docs.select(F.col("doc_id").alias("least"), "text").join(materialize(near.select("least").distinct(), "wanted"), "least", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("least"), "text").join(materialize(near.select("least").distinct(), "wanted", rows), "least", "left_semi")
     texts = materialize(texts, "texts")
     texts = materialize(texts.join(near.select("least", "node", "set1"), "least").drop("least"), "texts")
     h = F.xxhash64("node")
@@ -383,20 +384,20 @@ def links_of(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         return links
     part = connected_components(links)
     large = large.join(part, "node", "left").select("node", "near", "n_shingles", F.coalesce("component", "node").alias("part"))
-    large = materialize(large, "parts")
-    open_ = materialize(large.groupBy("near").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("near"), "open")
-    large = materialize(large.join(open_, "near"), "parts")
+    large = materialize(large, "parts", rows)
+    open_ = materialize(large.groupBy("near").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("near"), "open", rows)
+    large = materialize(large.join(open_, "near"), "parts", rows)
     if large.isEmpty():
         return links
-    large = materialize(large.join(cross_groups(large, texts, percent), "node").select("node", "group", "part", "n_shingles"), "groups")
+    large = materialize(large.join(cross_groups(large, texts, percent), "node").select("node", "group", "part", "n_shingles"), "groups", rows)
     if large.isEmpty():
         return links
-    size = materialize(large.groupBy("group", "part").agg(F.count("*").alias("k")), "sizes")
+    size = materialize(large.groupBy("group", "part").agg(F.count("*").alias("k")), "sizes", rows)
     large = large.join(size, ["group", "part"]).withColumn("pure", F.when(F.col("k") >= CHUNK // 2, F.col("part")))
     pool = large.groupBy(F.col("group").alias("group2"), F.col("pure").alias("pure2")).agg(_chunks(F.count("*"), F.sum("n_shingles")).alias("chunks"))
-    pool = materialize(pool, "sizes")
+    pool = materialize(pool, "sizes", rows)
     large = large.join(pool, (F.col("group") == F.col("group2")) & F.col("pure").eqNullSafe(F.col("pure2")))
-    large = materialize(large.select("node", "group", "pure", F.xxhash64("group", F.coalesce("pure", F.lit(-1)), F.pmod(h, F.col("chunks"))).alias("chunk")), "chunks")
+    large = materialize(large.select("node", "group", "pure", F.xxhash64("group", F.coalesce("pure", F.lit(-1)), F.pmod(h, F.col("chunks"))).alias("chunk")), "chunks", rows)
     one = large.select("group", "chunk", "pure").distinct()
     other = one.select("group", F.col("chunk").alias("chunk_b"), F.col("pure").alias("pure_b"))
     pairs = one.join(other, "group").where("chunk <= chunk_b and not (pure is not null and pure_b is not null and pure = pure_b)")
@@ -408,8 +409,9 @@ def links_of(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def _roots(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root): the smallest doc_id in the node's component."""
     comp = classes.select("node", "least").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    comp = materialize(comp, "named")
-    least = materialize(comp.groupBy("component").agg(F.min("least").alias("root")), "roots")
+    rows = classes.count()
+    comp = materialize(comp, "named", rows)
+    least = materialize(comp.groupBy("component").agg(F.min("least").alias("root")), "roots", rows)
     return comp.join(least, "component").select("node", "root")
 
 

@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.storage import discard, materialize
 
-#: Edges to a task in the rounds: as the graph shrinks, so does the number of tasks and of files they write.
-TASK_EDGES = 20_000
-
-
-def _dealt(df: DataFrame, edges: int) -> DataFrame:
-    return df.coalesce(max(1, -(-edges // TASK_EDGES)))
-
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Component of every node that has an edge to another: (node, component), component = the smallest node in it.
@@ -39,13 +32,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         key = lambda c: F.struct(hash_(c).alias("h"), c.alias("id"))
         to = both.groupBy(F.col("a").alias("node")).agg(F.min(key(F.col("b"))).alias("m"))
         to = to.select("node", F.least(F.col("m"), key(F.col("node"))).getField("id").alias("to"))
-        to = materialize(_dealt(to, n), "hook")
+        to = materialize(to, "hook", n)
         maps.append(to)
         left = to.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = to.select(F.col("node").alias("b"), F.col("to").alias("y"))
         before = e
         e = e.join(left, "a").join(right, "b").where("x <> y")
-        e = materialize(_dealt(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n), "edges")
+        e = materialize(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", n)
         discard(before)
         n = e.count()
     else:
@@ -56,8 +49,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for to in maps[1:]:
         out = out.join(to.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
     # Written first, so that the join back can be split or broadcast; straight onto the aggregate it would gather a component in one task.
-    out = materialize(_dealt(out, first), "roots") if len(maps) > 1 else out
-    least = materialize(_dealt(out.groupBy("to").agg(F.min("node").alias("component")), first), "least")
-    found = materialize(_dealt(out.join(least, "to").select("node", "component"), first), "components")
+    out = materialize(out, "roots", first) if len(maps) > 1 else out
+    least = materialize(out.groupBy("to").agg(F.min("node").alias("component")), "least", first)
+    found = materialize(out.join(least, "to").select("node", "component"), "components", first)
     discard(e, out, least, *maps)
     return found

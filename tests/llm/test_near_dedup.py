@@ -137,3 +137,26 @@ def test_what_a_worker_keeps_is_bounded():
     out = pa.Table.from_batches(run(iter([pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["doc_id", "text"])])))
     assert out.num_rows == 10 and out.column("n_shingles").to_pylist() == [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in map(str.split, texts)]
     assert common._POW.nbytes + common._POW_INV.nbytes <= 4_000_000
+
+
+def test_numbers_of_few_classes_take_few_tasks(spark, monkeypatch):
+    from loomgraph import storage
+
+    written, rng = {}, random.Random(4)
+    real = storage.materialize
+
+    def counted(df, tag="step", *a, **k):
+        out = real(df, tag, *a, **k)
+        written.setdefault(tag, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(N, "materialize", counted)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, t + " z") for i, t in rows]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(20), 85).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 85)
+    assert {max(written[tag]) for tag in ("near", "sizes", "wanted", "named", "roots")} == {1}
