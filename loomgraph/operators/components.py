@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.storage import discard, materialize
+from loomgraph.storage import PACKED, discard, materialize, stored
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, unique: bool = False) -> DataFrame:
     """Component of every node that has an edge to another: (node, component), component = the smallest node in it.
 
-    Nulls and self-loops take no part; repeated and reversed edges count once. Each round every node takes the
+    Nulls and self-loops take no part; repeated and reversed edges count once. unique: the caller knows that edges don't repeat, so they
+    aren't compared before the first round, nor written again where they lie in an intermediate table. Each round every node takes the
     neighbour (or itself) that comes first in a seeded hash order (in the first two rounds: in the order of the nodes), and the edges are rewritten to the chosen nodes, so
     every component shrinks by a constant factor a round whatever its shape; chains don't cost a round per edge and a
     hub's edges become one. Aggregates combine before the shuffle; the joins back are on one row per node, which
@@ -19,7 +20,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     spark = edges.sparkSession
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    e = materialize(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    given = unique and stored(e)
+    e = e if given else materialize(e, "edges", **PACKED) if unique else materialize(e.distinct(), "edges")
     kind = e.schema["a"].dataType
     maps: list[DataFrame] = []
     first = n = e.count()
@@ -28,10 +31,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         # Two rounds go by the numbers themselves: a star around its least node, the usual shape here, is one node then.
-        hash_ = lambda c: F.xxhash64(F.lit(turn), c) if turn > 1 else F.lit(0).cast("long")
-        key = lambda c: F.struct(hash_(c).alias("h"), c.alias("id"))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.min(key(F.col("b"))).alias("m"))
-        to = to.select("node", F.least(F.col("m"), key(F.col("node"))).getField("id").alias("to"))
+        key = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("id"))
+        if turn > 1:
+            to = both.groupBy(F.col("a").alias("node")).agg(F.min(key(F.col("b"))).alias("m"))
+            to = to.select("node", F.least(F.col("m"), key(F.col("node"))).getField("id").alias("to"))
+        else:  # the least number alone, which is aggregated by hash; a pair would be by sorting all edges
+            to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("m", "node").alias("to"))
         to = materialize(to, "hook", n)
         maps.append(to)
         left = to.select(F.col("node").alias("a"), F.col("to").alias("x"))
@@ -39,7 +44,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         before = e
         e = e.join(left, "a").join(right, "b").where("x <> y")
         e = materialize(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", n)
-        discard(before)
+        if not given or turn:
+            discard(before)
         n = e.count()
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.storage import materialize
+from loomgraph.operators.traverse import edge_rows, step_from
+from loomgraph.storage import kept, materialize
 
 
 # -- projection and filter -------------------------------------------------------------------------------------------
@@ -56,11 +57,11 @@ def marked_lines(docs: DataFrame, id_col: str, text_col: str, markers: list[str]
 # -- joins -----------------------------------------------------------------------------------------------------------
 def walk_endpoints(edges: DataFrame, start: Column, hops: int) -> DataFrame:
     """End nodes of walks of exactly `hops` steps from each start (revisits count, as in a chain of self-joins), distinct."""
-    edges = materialize(edges.select("src", "dst"), "graph")
-    out = edges.where(start).select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
+    edges = kept(edges.select("src", "dst"), "graph")
+    # A step's ends are written: their number is known then, and few of them don't move the edges.
+    out = materialize(edge_rows(edges.where(start)).select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct(), "walks")
     for _ in range(hops - 1):
-        step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-        out = out.join(step, "node").select("start", F.col("next").alias("node")).distinct()
+        out = materialize(step_from(out, edges).select("start", F.col("dst").alias("node")).distinct(), "walks")
     return out
 
 

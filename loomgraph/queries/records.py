@@ -15,7 +15,7 @@ from loomgraph.operators import resolve as X
 from loomgraph.operators import retrieval as Q
 from loomgraph.operators import temporal as TM
 from loomgraph.operators import validate as V
-from loomgraph.queries.base import SQL_SUPPLIERS, both_ways, g_suppliers, query, t
+from loomgraph.queries.base import SQL_SUPPLIERS, query, supplier_links, t
 from loomgraph.storage import materialize
 
 # TMP ----------------------------------------------------------------------------------------------------------------
@@ -424,7 +424,7 @@ def deletion_survey(spark, d):
 
 @query(f"WITH RECURSIVE {SQL_SUPPLIERS}, r(n, h) AS (SELECT min(src), 0 FROM g2u UNION SELECT dst, h + 1 FROM r JOIN g2u ON src = n WHERE h < 1) SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS person, s_suppkey AS target FROM supplier WHERE s_suppkey IN (SELECT n FROM r)")
 def shared_target_cascade(spark, d):
-    e = both_ways(g_suppliers(spark, d)).select("src", "dst")
+    e = supplier_links(spark, d)
     about = t(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("person"), F.col("s_suppkey").alias("target"))
     return L.shared_target(e, about, e.agg(F.min("src")).first()[0], 1)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import relational as R
-from loomgraph.queries.base import SQL_CUSTOMER_PART, SQL_NATIONS, SQL_SUPPLIERS, both_ways, g_customer_part, g_nations, g_suppliers, query, t
+from loomgraph.queries.base import SQL_CUSTOMER_PART, SQL_NATIONS, SQL_SUPPLIERS, g_customer_part, g_nations, query, supplier_edges, supplier_links, t
 
 
 # PRJ ----------------------------------------------------------------------------------------------------------------
@@ -91,9 +91,9 @@ def instruction_lines(spark, d):
 @query(f"""WITH {SQL_SUPPLIERS} SELECT x.src AS start, count(DISTINCT z.dst) AS ends FROM g2u x JOIN g2u y ON x.dst = y.src JOIN g2u z ON y.dst = z.src
 WHERE x.src = (SELECT min(src) FROM g2u) GROUP BY 1""")
 def walk_endpoints(spark, d):
-    e = both_ways(g_suppliers(spark, d)).select("src", "dst")
-    first = e.agg(F.min("src").alias("m")).scalar()
-    return R.walk_endpoints(e, F.col("src") == first, 3).groupBy("start").agg(F.count("node").alias("ends"))
+    e = supplier_links(spark, d)
+    first = e.agg(F.min("src").alias("m")).first()["m"]
+    return R.walk_endpoints(e, F.col("src") == F.lit(first), 3).groupBy("start").agg(F.count("node").alias("ends"))
 
 
 @query("""SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
@@ -220,12 +220,12 @@ def presence_audit(spark, d):
 
 @query(f"WITH {SQL_SUPPLIERS} SELECT src AS node, count(*) AS degree, CAST(sum(w) AS BIGINT) AS strength FROM g2u GROUP BY 1")
 def degrees(spark, d):
-    return both_ways(g_suppliers(spark, d)).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
+    return supplier_edges(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
 
 
 @query(f"WITH {SQL_SUPPLIERS}, k AS (SELECT src, count(*) AS n FROM g2u GROUP BY 1) SELECT CAST(sum(n * n) AS BIGINT) AS two_hop_cost FROM k")
 def two_hop_cost(spark, d):
-    k = both_ways(g_suppliers(spark, d)).groupBy("src").agg(F.count("*").alias("n"))
+    k = supplier_edges(spark, d).groupBy("src").agg(F.count("*").alias("n"))
     return k.agg(F.sum(F.col("n") * F.col("n")).alias("two_hop_cost"))
 
 
@@ -461,7 +461,7 @@ def numeric_formulas(spark, d):
 
 @query(f"WITH {SQL_SUPPLIERS}, k AS (SELECT src, count(*) AS n FROM g2u GROUP BY 1) SELECT count(*) FILTER (n % 2 = 1) AS odd, CASE count(*) FILTER (n % 2 = 1) WHEN 0 THEN 'circuit' WHEN 2 THEN 'path' ELSE 'none' END AS verdict FROM k")
 def euler_verdict(spark, d):
-    k = both_ways(g_suppliers(spark, d)).groupBy("src").agg(F.count("*").alias("n"))
+    k = supplier_edges(spark, d).groupBy("src").agg(F.count("*").alias("n"))
     return k.agg(F.count_if(F.col("n") % 2 == 1).alias("odd")).withColumn("verdict", S.euler_verdict(F.col("odd")))
 
 
