@@ -92,10 +92,48 @@ def labelled_lookup(df: DataFrame, policy: DataFrame, key: str, value: str, unkn
 
 
 def block_pairs(df: DataFrame, key: Column, id_col: str = "id") -> DataFrame:
-    """Pairs (a, b), a < b, of rows that share a block key; null keys make no block."""
-    keyed = df.select(key.alias("k"), F.col(id_col)).where("k is not null")
-    left, right = keyed.select("k", F.col(id_col).alias("a")), keyed.select("k", F.col(id_col).alias("b"))
-    return left.join(right, "k").where("a < b").select("a", "b").distinct()
+    """Distinct pairs (a, b), a < b, of rows that share a block key; null keys make no block."""
+    return met_in_blocks(df, [key], id_col).select("a", "b")
+
+
+#: Rows of a block that meet as many others in one cell, and pairs that one task makes.
+CELL, CELL_PAIRS = 2_048, 8_000_000
+
+
+def met_in_blocks(records: DataFrame, keys: list[Column], id_col: str = "id", fields: list[str] | None = None) -> DataFrame:
+    """(a, b, x, y): distinct pairs a < b of records that share any key, with their fields as structs; null keys make no block.
+
+    The pairs are the square of a block, so they are made once and never compared or moved: a block is cut into runs of CELL ids, every
+    two runs are a cell of their own, and tasks are as many as the pairs need. A pair that shares several keys is left to the first.
+    Only ids that stand in several rows are made distinct afterwards; their pairs come for each two rows, as a join on the id would give.
+    """
+    named = {f"k{i}": k for i, k in enumerate(keys)}
+    rows = records.select(F.col(id_col).alias("id"), *[k.alias(n) for n, k in named.items()], F.struct(F.lit(1).alias("__"), *(fields or [])).alias("f")).where("id is not null")
+    rows = materialize(rows.withColumn("many", F.count("*").over(Window.partitionBy("id")) > 1), "records")
+    once = rows.where("not many")
+    found = []
+    for i, k in enumerate(named):
+        block = Window.partitionBy(k)
+        runs = once.where(F.col(k).isNotNull()).withColumn("run", F.floor((F.row_number().over(block.orderBy("id")) - 1) / CELL))
+        runs = materialize(runs.withColumn("last", F.max("run").over(block)), "runs")
+        met = runs.groupBy(k).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / 2).first()[0] or 0.0
+        tasks = int(met // CELL_PAIRS) + 1
+        left = runs.withColumn("other", F.explode(F.sequence("run", "last"))).select(*[F.col(n).alias(f"a_{n}") for n in named], F.col("id").alias("a"), F.col("f").alias("x"), F.col("run").alias("p"), F.col("other").alias("q"))
+        right = runs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("run")))).select(*[F.col(n).alias(f"b_{n}") for n in named], F.col("id").alias("b"), F.col("f").alias("y"), F.col("other").alias("p2"), F.col("run").alias("q2"))
+        cell = (F.col(f"a_{k}") == F.col(f"b_{k}")) & (F.col("p") == F.col("p2")) & (F.col("q") == F.col("q2"))
+        pairs = left.repartition(tasks, f"a_{k}", "p", "q").join(right.repartition(tasks, f"b_{k}", "p2", "q2"), cell).where("a < b")
+        for before in list(named)[:i]:
+            pairs = pairs.where(~F.coalesce(F.col(f"a_{before}") == F.col(f"b_{before}"), F.lit(False)))
+        found.append(pairs.select("a", "b", "x", "y"))
+    again = rows.where("many")
+    if not again.isEmpty():
+        each = [again.select(k, F.col("id").alias("i")).join(rows.select(k, F.col("id").alias("j")), k).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")) for k in named]
+        pairs = reduce(DataFrame.union, each).distinct()
+        if fields is None:
+            found.append(pairs.select("a", "b", F.struct(F.lit(1).alias("__")).alias("x"), F.struct(F.lit(1).alias("__")).alias("y")))
+        else:
+            found.append(pairs.join(rows.select(F.col("id").alias("a"), F.col("f").alias("x")), "a").join(rows.select(F.col("id").alias("b"), F.col("f").alias("y")), "b").select("a", "b", "x", "y"))
+    return reduce(DataFrame.union, found)
 
 
 # -- aggregates and windows ------------------------------------------------------------------------------------------
