@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
-from loomgraph.operators.relational import block_pairs
+from loomgraph.operators.relational import met_in_blocks
 from loomgraph.storage import materialize
 
 
 def candidate_pairs(records: DataFrame, keys: dict[str, Column], id_col: str = "id") -> DataFrame:
     """Distinct pairs (a, b) of the union of several blocking keys."""
-    return reduce(DataFrame.union, [block_pairs(records, k, id_col) for k in keys.values()]).distinct()
+    return met_in_blocks(records, list(keys.values()), id_col).select("a", "b")
 
 
 def missed_pairs(truth: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -32,9 +32,9 @@ def verdict(score: Column, high: float = 0.85, low: float = 0.55) -> Column:
     return F.when(score >= high, "auto").when(score >= low, "review").otherwise("reject")
 
 
-def clusters(ids: DataFrame, accepted: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, cluster) over accepted pairs (a, b); the cluster is its least id, a lone record its own."""
-    comp = connected_components(accepted)
+def clusters(ids: DataFrame, accepted: DataFrame, id_col: str = "id", unique: bool = False) -> DataFrame:
+    """(id, cluster) over accepted pairs (a, b); the cluster is its least id, a lone record its own. unique: as for components."""
+    comp = connected_components(accepted, unique=unique)
     return ids.select(F.col(id_col).alias("node")).join(comp, "node", "left").select(F.col("node").alias(id_col), F.coalesce("component", "node").alias("cluster"))
 
 
@@ -62,10 +62,14 @@ def merged_view(records: DataFrame, roots: DataFrame, fields: list[str], id_col:
 
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float], score: str = "score", truth: str = "same") -> DataFrame:
-    """threshold, tp, fp, fn, precision, recall over scored pairs: one pass, the thresholds as an array."""
-    each = scored.select(F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"), score, truth)
-    yes, same = F.col(score) >= F.col("threshold"), F.col(truth)
-    out = each.groupBy("threshold").agg(F.count_if(yes & same).alias("tp"), F.count_if(yes & ~same).alias("fp"), F.count_if(~yes & same).alias("fn"))
+    """threshold, tp, fp, fn, precision, recall over scored pairs: one pass and one row of counts; none for no pairs."""
+    same, aggs, rows = F.col(truth), [], []
+    for i, t in enumerate(dict.fromkeys(thresholds)):
+        yes = F.col(score) >= F.lit(t)
+        aggs += [F.count_if(yes & same).alias(f"tp{i}"), F.count_if(yes & ~same).alias(f"fp{i}"), F.count_if(~yes & same).alias(f"fn{i}")]
+        rows.append(F.struct(F.lit(t).alias("threshold"), *[F.col(f"{c}{i}").alias(c) for c in ("tp", "fp", "fn")]))
+    counts = scored.agg(F.count("*").alias("n"), *aggs).where("n > 0")
+    out = counts.select(F.inline(F.array(*rows)))
     return out.withColumn("precision", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 9)).withColumn("recall", F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 9))
 
 
