@@ -176,9 +176,13 @@ def decision_latency(spark, d):
 SQL_BLOCK = """blk AS (SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND (a.s_nationkey = b.s_nationkey OR CAST(floor(a.s_acctbal / 100) AS BIGINT) = CAST(floor(b.s_acctbal / 100) AS BIGINT)))"""
 
 
+def supplier_keys():
+    return {"nation": F.col("s_nationkey").cast("long"), "balance": F.floor(F.col("s_acctbal") / 100).cast("long")}
+
+
 def supplier_pairs(spark, d):
     s = t(spark, d, "supplier")
-    return X.candidate_pairs(s, {"nation": F.col("s_nationkey").cast("long"), "balance": F.floor(F.col("s_acctbal") / 100).cast("long")}, "s_suppkey")
+    return X.candidate_pairs(s, supplier_keys(), "s_suppkey")
 
 
 @query(f"WITH {SQL_BLOCK} SELECT a, b FROM blk")
@@ -193,9 +197,8 @@ SQL_SCORED = f"""{SQL_BLOCK}, sc AS (SELECT blk.a, blk.b, x.s_nationkey = y.s_na
 
 def scored_pairs(spark, d):
     s = t(spark, d, "supplier")
-    x = s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("na"), F.col("s_acctbal").alias("ba"))
-    y = s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nb"), F.col("s_acctbal").alias("bb"))
-    j = supplier_pairs(spark, d).join(x, "a").join(y, "b")
+    j = R.met_in_blocks(s, list(supplier_keys().values()), "s_suppkey", ["s_nationkey", "s_acctbal"])
+    j = j.select("a", "b", *[F.col(f"{side}.s_{f}").alias(n) for side, f, n in (("x", "nationkey", "na"), ("x", "acctbal", "ba"), ("y", "nationkey", "nb"), ("y", "acctbal", "bb"))])
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     score = X.weighted_score([(2.0, (F.col("ba") > 0) & (F.col("bb") > 0), one(F.abs(F.col("ba") - F.col("bb")) < 500)), (1.0, F.lit(True), one(F.col("na") % 5 == F.col("nb") % 5))])
     return j.select("a", "b", (F.col("na") == F.col("nb")).alias("same"), score.alias("score"))
