@@ -212,7 +212,7 @@ def pair_scores(spark, d):
 @query(f"""WITH RECURSIVE {SQL_SCORED}, e AS (SELECT a AS x, b AS y FROM sc WHERE score >= 0.85 UNION ALL SELECT b, a FROM sc WHERE score >= 0.85), r(n, m) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.n, e.y FROM r JOIN e ON e.x = r.m)
 SELECT n AS s_suppkey, min(m) AS cluster FROM r GROUP BY 1""")
 def entity_clusters(spark, d):
-    return X.clusters(t(spark, d, "supplier"), scored_pairs(spark, d).where("score >= 0.85").select("a", "b"), "s_suppkey")
+    return X.clusters(t(spark, d, "supplier"), scored_pairs(spark, d).where("score >= 0.85").select("a", "b"), "s_suppkey", unique=True)
 
 
 @query("""WITH RECURSIVE l AS (SELECT s_suppkey AS dropped, CAST(floor(s_suppkey / 2) AS BIGINT) AS kept FROM supplier WHERE s_suppkey % 3 <> 0 AND floor(s_suppkey / 2) >= 1), r(id, root) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION ALL SELECT r.id, l.kept FROM r JOIN l ON l.dropped = r.root)
