@@ -107,6 +107,11 @@ def test_lists_as_rows(spark, both):
         assert same(f(lists), f(edges))
 
 
+def test_search_stops_at_the_goal(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    assert {(r.node, r.hop) for r in T.bfs(e, spark.range(1).withColumnRenamed("id", "node"), 6, goal=2).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_votes_of_far_nodes(spark):
     """Numbers with gaps, and neighbours without a label."""
     links = spark.createDataFrame([(10**12, [5, 7, 10**15], [1, 1, 1], 1), (5, [7, 10**12], [1, 1], 1), (7, [5], [1], 1)], P.LINKS)
